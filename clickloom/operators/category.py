@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,14 +10,30 @@ from clickloom.functions import columns as C
 from clickloom.functions import vocab
 
 
-def _priced(column: str = "price"):
-    return F.when(C.is_priced_purchase(), F.col(column))
+def _priced() -> Column:
+    return F.when(C.is_priced_purchase(), F.col("price"))
 
 
-def _performance(counts: DataFrame, min_views: int) -> DataFrame:
+def _counts(ev: DataFrame, price: Column) -> DataFrame:
+    return ev.groupBy(C.top_category().alias("raw_category")).agg(
+        C.count_type(vocab.VIEW).alias("total_views"),
+        C.count_type(vocab.CART).alias("total_carts"),
+        C.count_type(vocab.PURCHASE).alias("total_purchases"),
+        F.round(F.sum(F.coalesce(price, F.lit(0.0))), 2).alias("total_revenue"),
+        F.round(F.avg(price), 2).alias("avg_purchase_price"),
+    )
+
+
+def category_counts(ev: DataFrame) -> DataFrame:
+    """Events, revenue and mean price per category code."""
+    return _counts(ev, _priced())
+
+
+def category_performance(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
     views, carts, purchases = F.col("total_views"), F.col("total_carts"), F.col("total_purchases")
     return (
-        counts.where(views > min_views)
+        category_counts(ev)
+        .where(views > min_views)
         .select(
             vocab.display_name(F.col("raw_category"), vocab.CATEGORY_NAMES).alias("category"),
             "total_views",
@@ -33,24 +49,10 @@ def _performance(counts: DataFrame, min_views: int) -> DataFrame:
     )
 
 
-def _category_counts(ev: DataFrame, revenue, price) -> DataFrame:
-    return ev.groupBy(C.top_category().alias("raw_category")).agg(
-        C.count_type(vocab.VIEW).alias("total_views"),
-        C.count_type(vocab.CART).alias("total_carts"),
-        C.count_type(vocab.PURCHASE).alias("total_purchases"),
-        F.round(F.sum(F.coalesce(revenue, F.lit(0.0))), 2).alias("total_revenue"),
-        F.round(F.avg(price), 2).alias("avg_purchase_price"),
-    )
-
-
-def category_performance(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
-    return _performance(_category_counts(ev, _priced(), _priced()), min_views)
-
-
 def category_performance_priced(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
     """Variant that drops unpriced carts and purchases as rows instead of inside the sums."""
     price = F.when(C.is_type(vocab.PURCHASE), F.col("price"))
-    counts = _category_counts(ev.where((F.col("price") > 0) | C.is_type(vocab.VIEW)), price, price)
+    counts = _counts(ev.where((F.col("price") > 0) | C.is_type(vocab.VIEW)), price)
     views, purchases = F.col("total_views"), F.col("total_purchases")
     return (
         counts.where(views > min_views)

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions import columns as C
 from clickloom.functions import periods, vocab
@@ -91,21 +92,30 @@ def weekly_trend(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     )
 
 
-def category_mix_shift(ev: DataFrame, spec: PeriodSpec = periods.CATEGORY_PERIODS) -> DataFrame:
-    """Share of revenue per category and period. The share's window runs over one row per category."""
+def category_mix(ev: DataFrame, spec: PeriodSpec = periods.CATEGORY_PERIODS) -> DataFrame:
+    """Share of revenue per category code and period. The share's window runs over one row per category."""
     revenue = (
         assign_period(ev.where(C.is_priced_purchase()), spec)
         .groupBy("period", C.top_category().alias("raw_category"))
         .agg(F.round(F.sum("price"), 2).alias("category_revenue"), F.count("*").alias("purchase_count"))
     )
     total = F.sum("category_revenue").over(W.partitionBy("period"))
-    return revenue.select(
-        "period",
-        vocab.display_name(F.col("raw_category"), vocab.CATEGORY_NAMES_STARRED).alias("category"),
-        "category_revenue",
-        "purchase_count",
-        C.pct(F.col("category_revenue"), total).alias("revenue_share_pct"),
-    ).orderBy("period", F.desc("category_revenue"), "category")
+    return revenue.withColumn("revenue_share_pct", C.pct(F.col("category_revenue"), total))
+
+
+def category_mix_shift(ev: DataFrame, spec: PeriodSpec = periods.CATEGORY_PERIODS) -> DataFrame:
+    """``category_mix`` with display names, in report order."""
+    return (
+        category_mix(ev, spec)
+        .select(
+            "period",
+            vocab.display_name(F.col("raw_category"), vocab.CATEGORY_NAMES_STARRED).alias("category"),
+            "category_revenue",
+            "purchase_count",
+            "revenue_share_pct",
+        )
+        .orderBy("period", F.desc("category_revenue"), "category")
+    )
 
 
 def period_session_behavior(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
@@ -201,8 +211,8 @@ def _side_by_side(funnel: DataFrame, spec: PeriodSpec) -> DataFrame:
     )
 
 
-@F.udf("double")
-def _upper_normal_tail(z: float | None) -> float | None:
+@F.udf(T.DoubleType())
+def _upper_normal_tail(z):
     """Spark has no error function; this runs on the single row of the test."""
     return None if z is None else 0.5 * math.erfc(z / math.sqrt(2.0))
 
