@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from clickloom.functions import vocab
 from clickloom.functions.periods import PeriodSpec
 from clickloom.operators.ranking import Score, add_ntiles
 from clickloom.operators.sessions import SLICE_SECONDS
+from clickloom.sources.stable import written
 
 DEFAULT = PeriodSpec()
 
@@ -43,24 +44,33 @@ def _first_events(ev: DataFrame, cutoff: int) -> DataFrame:
     map side, so even an endless session moves next to nothing.
     """
     id_col = "event_id" if "event_id" in ev.columns else "product_id"
-    second = F.unix_seconds("event_time")
     rank = F.row_number().over(W.partitionBy("user_session").orderBy(*C.tie_order(ev)))
-    first = ev.withColumn("_rank", rank).where(F.col("_rank") <= cutoff)
-    opening = F.col("_rank") == 1
-    hour = F.hour(F.min("event_time"))
+    first = (
+        ev.withColumn("_category", C.top_category())
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") <= cutoff)
+    )
+
+    def at(position: int, column: str) -> Column:
+        return F.max(F.when(F.col("_rank") == position, F.col(column)))
+
+    def distinct(column: str) -> Column:
+        values = F.array(*[at(i, column) for i in range(1, cutoff + 1)])
+        return F.size(F.array_distinct(F.array_compact(values))).cast("long")
+
     return first.groupBy("user_session").agg(
-        F.max(F.when(opening, F.col("user_id"))).alias("user_id"),
-        F.max(F.when(opening, second)).alias("_second"),
-        F.max(F.when(opening, F.col(id_col))).alias("_id"),
-        F.min("event_time").alias("session_start"),
-        F.countDistinct("product_id").alias("products_viewed"),
-        F.size(F.collect_set(C.top_category())).cast("long").alias("categories_viewed"),
+        at(1, "user_id").alias("user_id"),
+        F.unix_seconds(at(1, "event_time")).alias("_second"),
+        at(1, id_col).alias("_id"),
+        at(1, "event_time").alias("session_start"),
+        distinct("product_id").alias("products_viewed"),
+        distinct("_category").alias("categories_viewed"),
         F.min("price").alias("min_price_viewed"),
         F.max("price").alias("max_price_viewed"),
         F.round(F.avg("price"), 2).alias("avg_price_viewed"),
         C.has_type(vocab.CART).alias("cart_in_cutoff"),
-        hour.alias("session_start_hour"),
-        F.dayofweek(F.min("event_time")).alias("session_start_dow"),
+        F.hour(at(1, "event_time")).alias("session_start_hour"),
+        F.dayofweek(at(1, "event_time")).alias("session_start_dow"),
         C.count_type(vocab.PURCHASE).alias("_early_purchases"),
     )
 
@@ -127,7 +137,8 @@ def propensity_features(ev: DataFrame, cutoff: int = 3, spec: PeriodSpec = DEFAU
     purchases = kept.where(C.is_type(vocab.PURCHASE)).select(
         "user_id", F.unix_seconds("event_time").alias("_second"), F.col(id_col).alias("_id"), "event_time"
     )
-    history = _with_history(sessions, purchases)
+    # Read twice below; written so that the first events of all sessions are looked up only once.
+    history = _with_history(written(sessions, "session-openings"), purchases)
     return history.select(
         "user_session",
         *FEATURES[:8],

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from clickloom.functions import vocab
 from clickloom.operators.sessions import sessionize
 
+# Schemas of the test tables; stating them saves a job that would look into the files.
+EVENTS_TABLE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PART_TABLE = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+ORDERS_TABLE = (
+    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string"
+)
+LINEITEM_TABLE = (
+    "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+)
+
 # How the test tables stand for shop data: event types, and a category per part type.
 EVENT_TYPES = {"view": vocab.VIEW, "click": vocab.CART, "purchase": vocab.PURCHASE}
 PART_CATEGORIES = {
@@ -23,7 +35,7 @@ SESSION_GAP_SECONDS = 24 * 3600
 
 def base_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with user, product, price and time; neither session nor product attributes."""
-    raw = spark.read.parquet(f"{folder}/events.parquet")
+    raw = spark.read.schema(EVENTS_TABLE).parquet(f"{folder}/events.parquet")
     return raw.where(F.col("event_type").isin(list(EVENT_TYPES))).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("event_time"),
@@ -36,7 +48,7 @@ def base_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
     """Category and brand per product. Some products have none, as in real data."""
-    part = spark.read.parquet(f"{folder}/part.parquet")
+    part = spark.read.schema(PART_TABLE).parquet(f"{folder}/part.parquet")
     code = vocab.display_name(F.col("p_type"), PART_CATEGORIES)
     shape = F.split("p_name", " ")
     return part.select(
@@ -68,7 +80,7 @@ def full_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as purchases over several years, for monthly and per-customer operators."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = spark.read.schema(ORDERS_TABLE).parquet(f"{folder}/orders.parquet")
     return orders.select(
         F.col("o_orderkey").alias("event_id"),
         F.col("o_orderdate").cast("timestamp").alias("event_time"),
@@ -81,7 +93,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def lineitem_events(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as purchases of parts, for price statistics at volume."""
-    items = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+    items = spark.read.schema(LINEITEM_TABLE).parquet(f"{folder}/lineitem.parquet").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
         F.col("l_shipdate").cast("timestamp").alias("event_time"),
         F.lit(vocab.PURCHASE).alias("event_type"),
