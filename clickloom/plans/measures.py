@@ -189,6 +189,7 @@ def champion_revenue(fact_rfm_segment: DataFrame, segments: DataFrame) -> DataFr
 
 
 def month1_retention(fact_retention_curve: DataFrame) -> DataFrame:
+    """Mean share of buyers who come back in their second month."""
     return fact_retention_curve.where(F.col("MonthsSinceFirst") == "M1").select(
         F.col("AvgRetention").alias("month1_retention_avg")
     )
@@ -263,6 +264,7 @@ def _top_share(table: DataFrame, name: str, value: str) -> DataFrame:
 
 
 def top_category_share(fact_category_performance: DataFrame) -> DataFrame:
+    """Category with the highest revenue and its share of the categories shown."""
     return _top_share(fact_category_performance, "CategoryCode", "TotalRevenue").select(
         F.col("CategoryCode").alias("top_category"),
         F.col("TotalRevenue").alias("revenue"),
@@ -271,6 +273,7 @@ def top_category_share(fact_category_performance: DataFrame) -> DataFrame:
 
 
 def top_brand_share(fact_top_brands: DataFrame) -> DataFrame:
+    """Brand with the highest revenue and its share of the brands shown."""
     return _top_share(fact_top_brands, "Brand", "TotalRevenue").select(
         C.capitalised(F.col("Brand")).alias("top_brand"),
         F.col("TotalRevenue").alias("revenue"),
