@@ -20,7 +20,7 @@ def _counts(ev: DataFrame, price: Column) -> DataFrame:
         C.count_type(vocab.CART).alias("total_carts"),
         C.count_type(vocab.PURCHASE).alias("total_purchases"),
         F.round(F.sum(F.coalesce(price, F.lit(0.0))), 2).alias("total_revenue"),
-        F.round(F.avg(price), 2).alias("avg_purchase_price"),
+        C.mean_price(price).alias("avg_purchase_price"),
     )
 
 
@@ -64,14 +64,14 @@ def category_performance_priced(ev: DataFrame, min_views: int = 10_000) -> DataF
 
 def brand_ranking(ev: DataFrame, min_purchases: int = 100, n: int = 30) -> DataFrame:
     """Brands by revenue. Reduced per (brand, category) first, which also counts the categories."""
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast("long")
     cells = (
         ev.where(F.col("brand").isNotNull())
         .groupBy("brand", C.top_category().alias("raw_category"))
         .agg(
             C.count_type(vocab.VIEW).alias("views"),
             C.count_type(vocab.PURCHASE).alias("purchases"),
-            F.sum(F.coalesce(_priced(), zero)).alias("revenue"),
+            F.sum(F.coalesce(C.units(_priced()), zero)).alias("revenue"),
             F.count(_priced()).alias("priced"),
         )
     )
@@ -79,8 +79,8 @@ def brand_ranking(ev: DataFrame, min_purchases: int = 100, n: int = 30) -> DataF
         cells.groupBy("brand")
         .agg(
             F.sum("purchases").alias("total_purchases"),
-            F.round(F.sum("revenue"), 2).alias("total_revenue"),
-            C.ratio(F.sum("revenue"), F.sum("priced"), 2).alias("avg_purchase_price"),
+            C.from_units(F.sum("revenue")).alias("total_revenue"),
+            C.mean_of_units(F.sum("revenue"), F.sum("priced")).alias("avg_purchase_price"),
             F.count("*").alias("category_count"),
             C.pct(F.sum("purchases"), F.sum("views")).alias("view_to_purchase_pct"),
         )
@@ -99,7 +99,7 @@ def top_brands_in_top_categories(ev: DataFrame, categories: int = 5, brands: int
     cells = (
         ev.where(C.is_priced_purchase())
         .groupBy(C.top_category().alias("raw_category"), "brand")
-        .agg(F.count("*").alias("total_purchases"), F.sum("price").alias("revenue"))
+        .agg(F.count("*").alias("total_purchases"), F.sum(C.units(F.col("price"))).alias("revenue"))
     )
     leaders = (
         cells.groupBy("raw_category")
@@ -115,8 +115,8 @@ def top_brands_in_top_categories(ev: DataFrame, categories: int = 5, brands: int
             "raw_category",
             "brand",
             "total_purchases",
-            F.round("revenue", 2).alias("total_revenue"),
-            C.ratio(F.col("revenue"), F.col("total_purchases"), 2).alias("avg_purchase_price"),
+            C.from_units(F.col("revenue")).alias("total_revenue"),
+            C.mean_of_units(F.col("revenue"), F.col("total_purchases")).alias("avg_purchase_price"),
         )
     )
     rank = F.row_number().over(W.partitionBy("raw_category").orderBy(F.desc("total_revenue"), "brand"))

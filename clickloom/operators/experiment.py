@@ -36,7 +36,7 @@ def period_funnel(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
             C.count_type(vocab.VIEW).alias("views"),
             C.count_type(vocab.CART).alias("carts"),
             C.count_type(vocab.PURCHASE).alias("purchases"),
-            F.sum(_revenue()).alias("revenue"),
+            F.sum(C.units(_revenue())).alias("revenue"),
             F.count(_revenue()).alias("priced"),
         )
     )
@@ -48,8 +48,8 @@ def period_funnel(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
             F.sum("views").alias("total_views"),
             F.sum("carts").alias("total_carts"),
             F.sum("purchases").alias("total_purchases"),
-            F.round(F.sum("revenue"), 2).alias("total_revenue"),
-            C.ratio(F.sum("revenue"), F.sum("priced"), 2).alias("avg_order_value"),
+            C.from_units(F.sum("revenue")).alias("total_revenue"),
+            C.mean_of_units(F.sum("revenue"), F.sum("priced")).alias("avg_order_value"),
             F.count("user_session").alias("total_sessions"),
             F.count_if(named_buyer).alias("purchase_sessions"),
         )
@@ -143,7 +143,7 @@ def period_session_behavior(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFr
             F.round(F.avg("products"), 2).alias("avg_products_viewed"),
             F.sum("bought").alias("purchase_sessions"),
             C.pct(F.sum("bought"), F.count("*"), 4).alias("session_purchase_rate_pct"),
-            F.round(F.avg(F.when(F.col("bought") == 1, F.col("revenue"))), 2).alias("avg_session_revenue"),
+            C.mean_price(F.when(F.col("bought") == 1, F.col("revenue"))).alias("avg_session_revenue"),
         )
         .orderBy(F.desc("period"))
     )
@@ -158,7 +158,7 @@ def new_vs_returning(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     days = (
         ev.where(C.is_type(vocab.PURCHASE))
         .groupBy("user_id", C.event_date().alias("event_date"))
-        .agg(F.count(_revenue()).alias("purchases"), F.sum(_revenue()).alias("revenue"))
+        .agg(F.count(_revenue()).alias("purchases"), F.sum(C.units(_revenue())).alias("revenue"))
     )
     first = F.min("event_date").over(W.partitionBy("user_id"))
     typed = days.withColumn(
@@ -172,8 +172,8 @@ def new_vs_returning(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
         .agg(
             F.count("*").alias("unique_buyers"),
             F.sum("purchases").alias("total_purchases"),
-            F.round(F.sum("revenue"), 2).alias("total_revenue"),
-            C.ratio(F.sum("revenue"), F.sum("purchases"), 2).alias("avg_order_value"),
+            C.from_units(F.sum("revenue")).alias("total_revenue"),
+            C.mean_of_units(F.sum("revenue"), F.sum("purchases")).alias("avg_order_value"),
         )
         .orderBy(F.desc("period"), "buyer_type")
     )
