@@ -91,9 +91,13 @@ _register(
     session_stats=sessions.session_stats,
     session_summary=lambda ev: sessions.session_summary(ev, ACCURACY),
     session_depth_buckets=sessions.session_depth_buckets,
+    session_profile=lambda ev: sessions.session_profile(ev, ACCURACY),
+)
+
+_register(
+    fixture.stored_session_events,
     purchase_ranks=sessions.purchase_ranks,
     depth_at_purchase=lambda ev: sessions.depth_at_purchase(ev, ACCURACY),
-    session_profile=lambda ev: sessions.session_profile(ev, ACCURACY),
 )
 
 # RFM
@@ -147,7 +151,7 @@ _register(
     price_outlier_summary_lineitem=lambda ev: anomaly.price_outlier_summary(ev, ACCURACY),
 )
 _register(
-    fixture.full_events,
+    fixture.stored_events,
     price_outliers=lambda ev: anomaly.price_outliers(ev, accuracy=ACCURACY),
 )
 _register(
@@ -240,7 +244,7 @@ def _model_coefficients(ev: DataFrame) -> DataFrame:
 
 
 _register(
-    fixture.full_events,
+    fixture.stored_events,
     propensity_features=_features,
     propensity_evaluation=lambda ev: propensity.evaluate_propensity(_fixed_scores(ev), auc_bins=0),
     propensity_roc_curve=lambda ev: propensity.roc_curve(_fixed_scores(ev)),
@@ -310,7 +314,7 @@ def _rfm_segment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
-    ev = fixture.full_events(spark, folder)
+    ev = fixture.stored_events(spark, folder)
     return mart.fact_anomaly_findings(ev, mart.fact_price_outliers(ev, MART), MART)
 
 
@@ -356,7 +360,7 @@ QUERIES["mart_anomaly_findings"] = _findings
 def mart_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Build and store the whole mart, and count the rows of each stored table."""
     path = scratch_path(spark, "mart")
-    ev = written(fixture.full_events(spark, folder), "events")
+    ev = fixture.stored_events(spark, folder)
     stored = mart.build_mart(ev, path, MART, history=fixture.order_events(spark, folder))
     out = None
     for name, table in stored.items():
@@ -456,7 +460,7 @@ def measure_category_bar_color(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def measure_insights(spark: SparkSession, folder: str) -> DataFrame:
-    ev = written(fixture.full_events(spark, folder), "events")
+    ev = fixture.stored_events(spark, folder)
     return measures.insights(
         measures.overview_kpis(ev),
         {
@@ -475,7 +479,7 @@ def measure_insights(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def kpi_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    ev = written(fixture.full_events(spark, folder), "events")
+    ev = fixture.stored_events(spark, folder)
     return rounded(alerts.kpi_alerts(ev, ALERTS, history=fixture.order_events(spark, folder)))
 
 

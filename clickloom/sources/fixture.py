@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import vocab
 from clickloom.operators.sessions import sessionize
+from clickloom.sources.stable import written
 
 # Schemas of the test tables; stating them saves a job that would look into the files.
 EVENTS_TABLE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -78,6 +79,15 @@ def full_events(spark: SparkSession, folder: str) -> DataFrame:
     return session_events(spark, folder).join(products(spark, folder), "product_id")
 
 
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """All columns, derived once and written: for operators that read the events more than once."""
+    return written(full_events(spark, folder), "events")
+
+
+def stored_session_events(spark: SparkSession, folder: str) -> DataFrame:
+    return written(session_events(spark, folder), "session-events")
+
+
 def order_events(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as purchases over several years, for monthly and per-customer operators."""
     orders = spark.read.schema(ORDERS_TABLE).parquet(f"{folder}/orders.parquet")
