@@ -72,6 +72,11 @@ def event_date() -> Column:
     return F.to_date("event_time")
 
 
+def day(df: DataFrame) -> Column:
+    """Day of the event; taken from the folder of a day-partitioned table, so that date filters skip folders."""
+    return F.col("event_date") if "event_date" in df.columns else event_date()
+
+
 def week_start() -> Column:
     """Monday of the event's week."""
     return F.to_date(F.date_trunc("week", F.col("event_time")))

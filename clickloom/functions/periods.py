@@ -26,13 +26,11 @@ class PeriodSpec:
     transition_label: str = "Transition"
     onset_label: str = "COVID onset"
 
-    def kept(self) -> Column:
+    def kept(self, day: Column) -> Column:
         """Rows not on an excluded day."""
-        day = F.to_date("event_time")
         return ~day.isin(list(self.excluded)) if self.excluded else F.lit(True)
 
-    def label(self, with_transition: bool = False) -> Column:
-        day = F.to_date("event_time")
+    def label(self, day: Column, with_transition: bool = False) -> Column:
         is_pre = day <= F.lit(self.pre_end)
         if self.pre_start is not None:
             is_pre = is_pre & (day >= F.lit(self.pre_start))

@@ -119,7 +119,7 @@ def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
 
 
 def daily_volume(ev: DataFrame) -> DataFrame:
-    return ev.groupBy(C.event_date().alias("event_date")).agg(F.count("*").alias("daily_events"))
+    return ev.groupBy(C.day(ev).alias("event_date")).agg(F.count("*").alias("daily_events"))
 
 
 def daily_zscore(daily: DataFrame, value: str, days: int = 7, sigmas: float = 2.0) -> DataFrame:

@@ -19,8 +19,8 @@ DEFAULT = PeriodSpec()
 
 def assign_period(ev: DataFrame, spec: PeriodSpec = DEFAULT, with_transition: bool = False) -> DataFrame:
     """Add ``period``; rows outside both periods and on excluded days are dropped."""
-    labelled = ev.where(spec.kept()).withColumn("period", spec.label(with_transition))
-    return labelled.where(F.col("period").isNotNull())
+    label = spec.label(C.day(ev), with_transition)
+    return ev.where(spec.kept(C.day(ev)) & label.isNotNull()).withColumn("period", label)
 
 
 def _revenue():
@@ -74,8 +74,8 @@ def period_funnel(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
 def weekly_trend(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     """Weekly conversion; a week cut by a period boundary has one row per period."""
     sessions = (
-        ev.where(spec.kept())
-        .groupBy(C.week_start().alias("week_start"), spec.label(True).alias("period"), "user_session")
+        ev.where(spec.kept(C.day(ev)))
+        .groupBy(C.week_start().alias("week_start"), spec.label(C.day(ev), True).alias("period"), "user_session")
         .agg(C.count_type(vocab.VIEW).alias("views"), C.count_type(vocab.PURCHASE).alias("purchases"))
     )
     named_buyer = (F.col("purchases") > 0) & F.col("user_session").isNotNull()
@@ -157,14 +157,14 @@ def new_vs_returning(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     """
     days = (
         ev.where(C.is_type(vocab.PURCHASE))
-        .groupBy("user_id", C.event_date().alias("event_date"))
+        .groupBy("user_id", C.day(ev).alias("event_date"))
         .agg(F.count(_revenue()).alias("purchases"), F.sum(C.units(_revenue())).alias("revenue"))
     )
     first = F.min("event_date").over(W.partitionBy("user_id"))
     typed = days.withColumn(
         "buyer_type", F.when(F.col("event_date") == first, "New buyer").otherwise("Returning buyer")
     )
-    in_period = assign_period(typed.where(F.col("purchases") > 0).withColumnRenamed("event_date", "event_time"), spec)
+    in_period = assign_period(typed.where(F.col("purchases") > 0), spec)
     return (
         in_period.groupBy("period", "buyer_type", "user_id")
         .agg(F.sum("purchases").alias("purchases"), F.sum("revenue").alias("revenue"))

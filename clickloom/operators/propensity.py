@@ -118,7 +118,7 @@ def _with_history(sessions: DataFrame, purchases: DataFrame) -> DataFrame:
 def propensity_features(ev: DataFrame, cutoff: int = 3, spec: PeriodSpec = DEFAULT) -> DataFrame:
     """Features from the first events, label from the later ones, history from before the session."""
     id_col = "event_id" if "event_id" in ev.columns else "product_id"
-    kept = ev.where(spec.kept())
+    kept = ev.where(spec.kept(C.day(ev)))
     named = kept.where(F.col("user_session").isNotNull())
     totals = named.groupBy("user_session").agg(
         F.count("*").alias("_length"), C.count_type(vocab.PURCHASE).alias("_purchases")
@@ -158,7 +158,8 @@ def _as_numbers(features: DataFrame) -> DataFrame:
 def fit_propensity(features: DataFrame, max_iter: int = 20, holdout: str = HOLDOUT) -> PipelineModel:
     """Logistic regression on the pre period; classes are weighted so that both count the same.
 
-    Missing values take the feature's mean and features are standardised.
+    Missing values take the feature's mean and features are standardised. Training passes over the features many
+    times: give it a stored table. The returned model is saved with ``model.save(path)``.
     """
     train = _as_numbers(features.where(~F.col(holdout)))
     sizes = train.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
 
-SLICE_SECONDS = 3600
+# Width of the time slices that spread the events of one busy session or user over many tasks.
+SLICE_SECONDS = 900
 
 
 def sessionize(ev: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFrame:

@@ -29,7 +29,7 @@ class AlertSpec:
 
 def daily_revenue_zscore(ev: DataFrame, days: int = 7, sigmas: float = 2.0) -> DataFrame:
     """Daily revenue against the days before it."""
-    daily = ev.where(C.is_priced_purchase()).groupBy(C.event_date().alias("event_date"))
+    daily = ev.where(C.is_priced_purchase()).groupBy(C.day(ev).alias("event_date"))
     return anomaly.daily_zscore(daily.agg(F.round(F.sum("price"), 2).alias("revenue")), "revenue", days, sigmas)
 
 
