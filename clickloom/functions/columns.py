@@ -46,8 +46,8 @@ def pct(num: Column, den: Column, digits: int | None = 2) -> Column:
     return out if digits is None else F.round(out, digits)
 
 
-# Amounts of money are added as whole ten-thousandths where a mean is rounded to cents: sums of
-# whole numbers are exact, so the result does not depend on the order in which tasks finish.
+# Money and percentages with two decimals are added as whole ten-thousandths where a mean is rounded to
+# two decimals: sums of whole numbers are exact, so the result does not depend on the order of the rows.
 UNITS = 10_000
 
 
@@ -59,9 +59,9 @@ def mean_of_units(total: Column, rows: Column, digits: int = 2) -> Column:
     return ratio(total, rows * UNITS, digits)
 
 
-def mean_price(price: Column, digits: int = 2) -> Column:
-    """Aggregate: mean of an amount of money."""
-    return mean_of_units(F.sum(units(price)), F.count(price), digits)
+def exact_mean(value: Column, digits: int = 2) -> Column:
+    """Aggregate: mean of values with few decimals."""
+    return mean_of_units(F.sum(units(value)), F.count(value), digits)
 
 
 def from_units(total: Column, digits: int = 2) -> Column:

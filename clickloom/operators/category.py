@@ -20,7 +20,7 @@ def _counts(ev: DataFrame, price: Column) -> DataFrame:
         C.count_type(vocab.CART).alias("total_carts"),
         C.count_type(vocab.PURCHASE).alias("total_purchases"),
         F.round(F.sum(F.coalesce(price, F.lit(0.0))), 2).alias("total_revenue"),
-        C.mean_price(price).alias("avg_purchase_price"),
+        C.exact_mean(price).alias("avg_purchase_price"),
     )
 
 

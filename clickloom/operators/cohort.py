@@ -84,17 +84,12 @@ def retention_curve(ev: DataFrame) -> DataFrame:
 
 
 def curve_of(retention: DataFrame) -> DataFrame:
-    """Unweighted mean, lowest and highest cohort rate per month since the first purchase.
-
-    The rates have two decimals, so they are added as decimals: the mean does
-    not depend on the order of the cohorts.
-    """
-    total = F.sum(F.col("retention_rate_pct").cast("decimal(10,2)"))
+    """Unweighted mean, lowest and highest cohort rate per month since the first purchase."""
     return (
         retention.groupBy("months_since_first")
         .agg(
             F.count("*").alias("cohorts_with_data"),
-            C.ratio(total, F.count("*"), 2).alias("avg_retention_pct"),
+            C.exact_mean(F.col("retention_rate_pct")).alias("avg_retention_pct"),
             F.round(F.min("retention_rate_pct"), 2).alias("min_retention_pct"),
             F.round(F.max("retention_rate_pct"), 2).alias("max_retention_pct"),
         )

@@ -143,7 +143,7 @@ def period_session_behavior(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFr
             F.round(F.avg("products"), 2).alias("avg_products_viewed"),
             F.sum("bought").alias("purchase_sessions"),
             C.pct(F.sum("bought"), F.count("*"), 4).alias("session_purchase_rate_pct"),
-            C.mean_price(F.when(F.col("bought") == 1, F.col("revenue"))).alias("avg_session_revenue"),
+            C.exact_mean(F.when(F.col("bought") == 1, F.col("revenue"))).alias("avg_session_revenue"),
         )
         .orderBy(F.desc("period"))
     )

@@ -67,7 +67,7 @@ def _first_events(ev: DataFrame, cutoff: int) -> DataFrame:
         distinct("_category").alias("categories_viewed"),
         F.min("price").alias("min_price_viewed"),
         F.max("price").alias("max_price_viewed"),
-        C.mean_price(F.col("price")).alias("avg_price_viewed"),
+        C.exact_mean(F.col("price")).alias("avg_price_viewed"),
         C.has_type(vocab.CART).alias("cart_in_cutoff"),
         F.hour(at(1, "event_time")).alias("session_start_hour"),
         F.dayofweek(at(1, "event_time")).alias("session_start_dow"),

@@ -73,7 +73,7 @@ def rfm_distribution(segments: DataFrame) -> DataFrame:
         F.count("*").alias("user_count"),
         F.round(F.avg("recency_days"), 1).alias("avg_recency_days"),
         F.round(F.avg("frequency"), 2).alias("avg_frequency"),
-        C.mean_price(F.col("monetary")).alias("avg_monetary"),
+        C.exact_mean(F.col("monetary")).alias("avg_monetary"),
         F.sum("monetary").alias("_revenue"),
     )
     return by_segment.select(
@@ -92,7 +92,7 @@ def rfm_monetary_percentiles(segments: DataFrame, accuracy: int = C.QUANTILE_ACC
     out = segments.groupBy("segment").agg(
         F.count("*").alias("user_count"),
         F.percentile_approx("monetary", [0.25, 0.5, 0.75, 0.9], accuracy).alias("_q"),
-        C.mean_price(F.col("monetary")).alias("avg_monetary"),
+        C.exact_mean(F.col("monetary")).alias("avg_monetary"),
         F.round(F.max("monetary"), 2).alias("max_monetary"),
     )
     return out.select(
