@@ -22,7 +22,7 @@ def is_priced_purchase() -> Column:
 
 def top_category(code: str = "category_code") -> Column:
     """First segment of the dotted category path; events without one are 'unknown'."""
-    return F.split(F.coalesce(F.col(code), F.lit(vocab.UNKNOWN_CATEGORY)), r"\.")[0]
+    return F.substring_index(F.coalesce(F.col(code), F.lit(vocab.UNKNOWN_CATEGORY)), ".", 1)
 
 
 def count_type(event_type: str) -> Column:
