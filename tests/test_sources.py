@@ -2,6 +2,7 @@ import glob
 import gzip
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import anomaly, experiment
@@ -10,6 +11,7 @@ from clickloom.plans.catalog import CATEGORY_SPEC, MART
 from clickloom.sources import events as tables
 from clickloom.sources import fixture
 from clickloom.sources.schema import EVENTS
+from clickloom.sources.stable import scratch_folder
 from conftest import rows
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
@@ -92,3 +94,18 @@ def test_mart_and_dictionary(spark, tmp_path):
     measures = {r["measure"]: r for r in dictionary.measure_dictionary(spark).collect()}
     assert measures["weighted_avg_price"]["inputs"] == "fact_category_performance"
     assert all(r["description"] for r in measures.values()), [m for m, r in measures.items() if not r["description"]]
+
+
+class _Session:
+    """Just the two things the scratch folder is chosen by."""
+
+    def __init__(self, master, folder):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder)})
+
+
+def test_scratch_folder():
+    assert scratch_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert scratch_folder(_Session("local[2]", None)) == scratch_folder(_Session("local[2]", None))
+    with pytest.raises(RuntimeError):
+        scratch_folder(_Session("yarn", None))
