@@ -4,10 +4,12 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+import oracles
+from clickloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracles.ORACLES
 # Trained models depend on the optimiser, so only their rows are checked.
 MODEL_QUERIES = {"propensity_model_evaluation", "propensity_model_scores", "propensity_model_coefficients"}
 
