@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, fingerprint, mixing
+from clickloom.llm import decontaminate, fingerprint, minhash, mixing
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,15 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.components(table(spark, folder, "documents"), shingle=4, percent=80)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("first.id")).alias("kept"),
+    )
+
+
 @query
 def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
