@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, fingerprint, minhash, mixing
+from clickloom.llm import decontaminate, fingerprint, minhash, mixing, toxicity
 from clickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,16 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 ORACLES["op4_benchmark_decontamination"] = decontaminate.SQL
 
 
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), toxicity.scores(model, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
