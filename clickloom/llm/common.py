@@ -28,14 +28,14 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def with_ordered_bucket(df: DataFrame, by: str, name: str) -> DataFrame:
+def with_ordered_bucket(df: DataFrame, by: str, name: str, per_partition: int = 4) -> DataFrame:
     """Add ``name``: an int that never falls as ``by`` (a number) rises, with about equally many rows of each.
 
     Equal values share a bucket, nulls get bucket -1. The only thing the driver holds is one bound per bucket,
-    four for each shuffle partition. Being a function of the value alone, the bucket is the same in a repeated task.
+    ``per_partition`` for each shuffle partition. Being a function of the value alone, the bucket is the same in a repeated task.
     """
     spark = df.sparkSession
-    wanted = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = ", ".join(str(i / wanted) for i in range(1, wanted))
     bounds = df.agg(F.expr(f"percentile_approx(cast({by} as double), array({shares}), {wanted * 20})")).first()[0] or []
     splits = [float("-inf"), *sorted(set(bounds) or {0.0}), float("inf")]

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, fingerprint, minhash, mixing, toxicity
+from clickloom.llm import decontaminate, fingerprint, minhash, mixing, token_files, toxicity
 from clickloom.llm.common import table
 
+#: End-of-document id of op7 and the name of its tokenizer file.
+END_ID, TOKENIZER = 2, "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,6 +58,18 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 ORACLES["op4_benchmark_decontamination"] = decontaminate.SQL
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    segments = token_files.write(table(spark, folder, "documents"), tokenizer_path(), END_ID)
+    return token_files.read_index(segments)
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
