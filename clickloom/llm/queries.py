@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, fingerprint, minhash, mixing, token_files, toxicity
+from clickloom.llm import decontaminate, fingerprint, minhash, mixing, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -21,6 +21,17 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+URL_RULES = (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+)
+
+
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.withColumnRenamed("id", "page_id")
+
+
 @query
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.components(table(spark, folder, "documents"), shingle=4, percent=80)
