@@ -119,6 +119,17 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated. Runs Spark jobs when called."""
+    found = judged(find(docs, benchmark, window, shingle, id_col, text_col), share)
+    bad = written(found.filter("contaminated").select("id", "key").distinct(), "contaminated")
+    keyed = docs.withColumn("__key", F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d")
+    return keyed.join(bad.alias("b"), F.expr(f"d.`{id_col}` <=> b.id AND d.__key = b.key"), "left_anti").drop("__key")
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

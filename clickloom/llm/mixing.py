@@ -26,14 +26,12 @@ from clickloom.llm.common import SPACE_WORD, written
 RANGE_DIGITS = 3
 
 
-def sizes(docs: DataFrame, seed: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, source, size in words, hash key and the range that the key is in."""
+def sized(docs: DataFrame, seed: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with __source, __size (words), __key (hash) and __range (the range that the key is in)."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    counted = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"),
-    )
-    return counted.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    return docs.withColumns({
+        "__source": F.col(source_col), "__size": F.coalesce(F.regexp_count(text_col, F.lit(SPACE_WORD)), F.lit(0)).cast("long"), "__key": key,
+    }).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
 
 
 def source_targets(sums: DataFrame, weights: Sequence[int], share: float, max_repeats: int) -> DataFrame:
@@ -62,16 +60,10 @@ def source_targets(sums: DataFrame, weights: Sequence[int], share: float, max_re
     )
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """How often each document is taken: id, source, size, source_size, target, copies, taken (size times copies).
-
-    Runs Spark jobs when called: sizes are counted once and written.
-    """
-    sized = written(sizes(docs, seed, id_col, text_col, source_col), "mix-sizes")
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
+def source_cuts(rows: DataFrame, weights: Sequence[int], share: float, max_repeats: int) -> DataFrame:
+    """One row per source of ``rows`` (from ``sized``): size, target, whole passes, words of the last pass, the last
+    range that this pass takes whole, and the range that holds the cut. Written; runs Spark jobs."""
+    ranges = rows.groupBy(F.col("__source").alias("source"), F.col("__range").alias("range")).agg(F.sum("__size").alias("words"))
     along = W.partitionBy("source").orderBy("range")
     ranges = written(
         ranges.withColumn("end", F.sum("words").over(along.rowsBetween(W.unboundedPreceding, 0)))
@@ -79,36 +71,61 @@ def mix(
     )
     targets = source_targets(ranges.select("source", "source_size").distinct(), weights, share, max_repeats)
     budget, size = F.floor("target"), F.col("source_size")
-    cuts = written(
-        targets.withColumn("passes", F.when(size > 0, F.floor(budget / size)).otherwise(0).cast("long"))
-        .withColumn("rest", (budget - F.col("passes") * size).cast("long")), "mix-cuts",
-    )
-    # One row per source and range: where the range starts in the source's order, and what the last pass takes of it.
-    placed = (
-        ranges.drop("source_size").alias("r").join(cuts.alias("c"), F.expr("r.source <=> c.source"))
-        .select("c.*", "range", (F.col("end") - F.col("words")).alias("start"), "end")
-    )
-    cut_range = written(
-        placed.groupBy("source", "source_size", "target", "passes", "rest").agg(
-            F.max(F.when(F.col("end") <= F.col("rest"), F.col("range"))).alias("last_whole"),
-            F.min(F.when((F.col("start") < F.col("rest")) & (F.col("rest") < F.col("end")), F.struct("range", "start"))).alias("cut"),
-        ), "mix-cut-range",
+    passes = F.when(size > 0, F.floor(budget / size)).otherwise(0).cast("long")
+    parts = targets.withColumn("passes", passes).withColumn("rest", (budget - F.col("passes") * size).cast("long"))
+    placed = ranges.drop("source_size").alias("r").join(parts.alias("c"), F.expr("r.source <=> c.source")).select(
+        "c.*", "range", (F.col("end") - F.col("words")).alias("start"), "end")
+    cut = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("end"))
+    return written(placed.groupBy("source", "source_size", "target", "passes", "rest").agg(
+        F.max(F.when(F.col("end") <= F.col("rest"), F.col("range"))).alias("last_whole"),
+        F.min(F.when(cut, F.struct("range", "start"))).alias("cut"),
+    ), "mix-cuts")
+
+
+def with_copies(rows: DataFrame, cuts: DataFrame, max_repeats: int) -> DataFrame:
+    """``rows`` (from ``sized``) with __source_size, __target and __copies. Only rows in a cut range are moved and sorted."""
+    joined = rows.alias("d").join(cuts.alias("c"), F.expr("d.__source <=> c.source")).select(
+        "d.*", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("passes").alias("__passes"),
+        F.col("rest").alias("__rest"), F.col("cut").alias("__cut"),
+        F.coalesce(F.col("__range") <= F.col("last_whole"), F.lit(False)).alias("__whole"),
     )
-    joined = sized.alias("d").join(cut_range.alias("c"), F.expr("d.source <=> c.source")).select(
-        "d.*", "source_size", "target", "passes", "rest", "cut",
-        F.coalesce(F.col("range") <= F.col("last_whole"), F.lit(False)).alias("whole"),
-    )
-    on_cut = F.coalesce(F.col("range") == F.col("cut.range"), F.lit(False))
-    order = W.partitionBy("source").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("cut.start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    near = joined.filter(on_cut).withColumn("more", (2 * start + F.col("size") <= 2 * F.col("rest")).cast("long"))
-    far = joined.filter(~on_cut).withColumn("more", F.col("whole").cast("long"))
-    copies = F.least(F.col("passes") + F.col("more"), F.lit(max_repeats)).cast("long")
-    return far.unionByName(near).select(
-        "id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+    on_cut = F.coalesce(F.col("__range") == F.col("__cut.range"), F.lit(False))
+    order = W.partitionBy("__source").orderBy("__key", "__size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("__cut.start") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    near = joined.filter(on_cut).withColumn("__more", (2 * start + F.col("__size") <= 2 * F.col("__rest")).cast("long"))
+    far = joined.filter(~on_cut).withColumn("__more", F.col("__whole").cast("long"))
+    copies = F.least(F.col("__passes") + F.col("__more"), F.lit(max_repeats)).cast("long")
+    return far.unionByName(near).withColumn("__copies", copies).drop("__passes", "__rest", "__cut", "__whole", "__more")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """How often each document is taken: id, source, size, source_size, target, copies, taken (size times copies).
+
+    Runs Spark jobs when called: sizes are counted once and written.
+    """
+    rows = written(sized(docs, seed, id_col, text_col, source_col).select(
+        F.col(id_col).alias("id"), "__source", "__size", "__key", "__range"), "mix-sizes")
+    copied = with_copies(rows, source_cuts(rows, weights, share, max_repeats), max_repeats)
+    return copied.select(
+        "id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"),
     )
 
 
+def mixed_rows(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken. Runs Spark jobs when called."""
+    rows = sized(docs, seed, id_col, text_col, source_col)
+    copied = with_copies(rows, source_cuts(rows, weights, share, max_repeats), max_repeats)
+    taken = copied.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return taken.select(*docs.columns)
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clickloom.llm import decontaminate, fingerprint, minhash, mixing, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
@@ -98,3 +99,8 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_mix_sources"] = mixing.SQL
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
