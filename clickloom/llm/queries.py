@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, fingerprint, minhash, mixing, token_files, toxicity, url_filter
+from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -70,6 +70,12 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 ORACLES["op4_benchmark_decontamination"] = decontaminate.SQL
 
 
+@query
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return maxent_lm.score(maxent_lm.fit(docs), docs).withColumnRenamed("id", "doc_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
