@@ -74,9 +74,8 @@ def find(
     windows = written(windows_of(benchmark, window, shingle, item_col, item_text_col), "windows")
     tokens = written(windows.select("size", F.explode("hashes").alias("h")).distinct(), "window-shingles")
     used = [r[0] for r in tokens.select("size").distinct().collect()]  # at most ``shingle`` numbers
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("key"), words_of(F.col(text_col)).alias("w"),
-    )
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("key"), F.col(text_col).alias("text"))
+    keyed = texts.select("id", "key", words_of(F.col("text")).alias("w"))
     places = None
     for size in sorted(used):
         at = keyed.select("id", "key", F.size("w").alias("n_words"), F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "h"))
@@ -102,9 +101,8 @@ def find(
     candidates = places.join(prefix, ["size", "h"]).filter(fits).groupBy("id", "key").agg(
         F.collect_set(F.struct(start.alias("start"), "n", "window", "items")).alias("candidates")
     )
-    met = keyed.alias("d").join(
-        candidates.alias("c"), F.expr("d.id <=> c.id AND d.key = c.key"), "left"
-    ).select("d.*", F.coalesce("candidates", F.array()).alias("candidates"))
+    met = texts.alias("d").join(candidates.alias("c"), F.expr("d.id <=> c.id AND d.key = c.key"), "left").select(
+        "d.id", "d.key", words_of(F.col("d.text")).alias("w"), F.coalesce("candidates", F.array()).alias("candidates"))
     same = F.filter("candidates", lambda c: F.array_join(F.slice(F.col("w"), c["start"] + 1, c["n"]), " ") == c["window"])
     spans = F.array_sort(F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items"))))
     verified = met.select("id", "key", F.size("w").alias("n_words"), spans.alias("spans"))
