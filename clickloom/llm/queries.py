@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, token_files, toxicity, url_filter
+from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -70,6 +70,17 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 ORACLES["op4_benchmark_decontamination"] = decontaminate.SQL
 
 
+@query
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    form = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(form("base"), 256).alias("base_sha256"), form("spans").alias("spans"),
+    )
+
+
 @query
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
