@@ -121,7 +121,8 @@ def _training_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in frame["text"]:
             base = set(base_spans(text))
             rows += [(float(c in base), c[1], features(text, c)) for c in candidates(text)]
-        yield pd.DataFrame({"label": [r[0] for r in rows], "kind": [r[1] for r in rows], "x": [r[2] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"label": [r[0] for r in rows], "kind": [r[1] for r in rows], "x": [r[2] for r in rows]})
 
 
 @dataclass

@@ -106,7 +106,8 @@ def _toxic_marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = Counter()
         for text in frame["text"]:
             count.update(all_marks(text))
-        yield pd.DataFrame({"mark": list(count), "n": list(count.values())})
+        if count:
+            yield pd.DataFrame({"mark": list(count), "n": list(count.values())})
 
 
 def _clean_marks(known: frozenset[str]):
@@ -115,7 +116,8 @@ def _clean_marks(known: frozenset[str]):
             count = Counter()
             for text in frame["text"]:
                 count.update(all_marks(text) & known)
-            yield pd.DataFrame({"mark": list(count), "n": list(count.values())})
+            if count:
+                yield pd.DataFrame({"mark": list(count), "n": list(count.values())})
     return run
 
 
