@@ -106,11 +106,17 @@ def time_slice(seconds: int, ts: str = "event_time") -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def tie_order(df: DataFrame) -> list[str]:
-    """Order of events in time. Equal times are ordered by event_id, or by content where there is none."""
+def tie_columns(df: DataFrame) -> list[str]:
+    """The columns that order events in time: event_id decides equal times; where there is none, the content does."""
     if "event_id" in df.columns:
         return ["event_time", "event_id"]
-    return ["event_time"] + [c for c in ("event_type", "product_id", "price") if c in df.columns]
+    return ["event_time", *(c for c in ("event_type", "product_id", "price") if c in df.columns)]
+
+
+def tie_order(df: DataFrame) -> list[str | Column]:
+    """Order of events in time. Event types of equal times come in the order of the funnel: view, cart, purchase."""
+    stage = F.array_position(F.array(*map(F.lit, vocab.EVENT_TYPES)), F.col("event_type"))
+    return [stage if c == "event_type" else c for c in tie_columns(df)]
 
 
 def tier_bucket(value: Column, low: float = 0.33, high: float = 0.67) -> Column:

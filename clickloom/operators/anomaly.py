@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,7 +90,15 @@ def price_outliers(ev: DataFrame, n: int = 100, accuracy: int = C.QUANTILE_ACCUR
 
 
 def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
-    """Sessions too long for a human. Reduced per (session, product) first, so the events of a bot spread out."""
+    """Sessions too long for a human.
+
+    Events are counted per session first; only those of the few long sessions are then reduced per (session, product).
+    Runs a Spark job when called: the long sessions are written, so that Spark knows how few they are.
+    """
+    busy = ev.groupBy("user_id", "user_session").agg(F.count("*").alias("n")).where(F.col("n") > min_events)
+    busy = written(busy.select(F.col("user_id").alias("_user"), F.col("user_session").alias("_session")), "long-sessions")
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("user_session").eqNullSafe(F.col("_session"))
+    ev = ev.join(busy, same, "left_semi")
     price = F.when(C.is_type(vocab.PURCHASE), F.col("price")).otherwise(F.lit(0.0))
     by_product = ev.groupBy("user_id", "user_session", "product_id").agg(
         F.count("*").alias("events"),
@@ -122,18 +130,24 @@ def daily_volume(ev: DataFrame) -> DataFrame:
     return ev.groupBy(C.day(ev).alias("event_date")).agg(F.count("*").alias("daily_events"))
 
 
-def daily_zscore(daily: DataFrame, value: str, days: int = 7, sigmas: float = 2.0) -> DataFrame:
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def daily_zscore(
+    daily: DataFrame, value: str, days: int = 7, sigmas: float = 2.0, digits: int | None = 0
+) -> DataFrame:
     """Compare each day with the days before it. The window runs over one row per day.
 
-    Mean and deviation are rounded to whole numbers first and the score uses the
-    rounded values, as in the published results.
+    Mean and deviation are rounded to ``digits`` first and the score uses the rounded values: whole numbers for
+    counts, as in the published results; None leaves them as they are, for amounts of money.
     """
     before = W.orderBy("event_date").rowsBetween(-days, -1)
     rolling = daily.select(
         "event_date",
         value,
-        F.round(F.avg(value).over(before), 0).alias(f"rolling_{days}d_avg"),
-        F.round(F.stddev_samp(value).over(before), 0).alias(f"rolling_{days}d_stddev"),
+        _rounded(F.avg(value).over(before), digits).alias(f"rolling_{days}d_avg"),
+        _rounded(F.stddev_samp(value).over(before), digits).alias(f"rolling_{days}d_stddev"),
     )
     mean, deviation = F.col(f"rolling_{days}d_avg"), F.col(f"rolling_{days}d_stddev")
     score = C.ratio(F.col(value) - mean, deviation)

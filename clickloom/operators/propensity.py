@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,7 +42,6 @@ def _first_events(ev: DataFrame, cutoff: int) -> DataFrame:
     The rank filter makes Spark keep only that many events per session on the
     map side, so even an endless session moves next to nothing.
     """
-    id_col = "event_id" if "event_id" in ev.columns else "product_id"
     rank = F.row_number().over(W.partitionBy("user_session").orderBy(*C.tie_order(ev)))
     first = (
         ev.withColumn("_category", C.top_category())
@@ -60,8 +58,6 @@ def _first_events(ev: DataFrame, cutoff: int) -> DataFrame:
 
     return first.groupBy("user_session").agg(
         at(1, "user_id").alias("user_id"),
-        F.unix_seconds(at(1, "event_time")).alias("_second"),
-        at(1, id_col).alias("_id"),
         at(1, "event_time").alias("session_start"),
         distinct("product_id").alias("products_viewed"),
         distinct("_category").alias("categories_viewed"),
@@ -78,18 +74,17 @@ def _first_events(ev: DataFrame, cutoff: int) -> DataFrame:
 def _with_history(sessions: DataFrame, purchases: DataFrame) -> DataFrame:
     """Add the user's purchases strictly before each session's first event.
 
-    Session openings and purchases form one stream per user. Sums over earlier
-    time slices (a window over one row per slice) plus a running sum inside the
-    slice give the history, so a user with very many purchases is spread out.
+    Purchases are first counted per (user, time). Openings and these counts form one stream per user. Sums over
+    earlier time slices (a window over one row per slice) plus a running sum over earlier times inside the slice give
+    the history, so a user with very many purchases is spread out, and any number of purchases at one time is one row.
     """
-    bought = purchases.select(
-        "user_id", "_second", "_id", F.col("event_time").alias("_bought"), F.lit(True).alias("_purchase")
-    )
-    stream = sessions.withColumn("_purchase", F.lit(False)).unionByName(bought, allowMissingColumns=True)
-    stream = stream.withColumn("_slice", F.floor(F.col("_second") / SLICE_SECONDS))
-    slices = stream.groupBy("user_id", "_slice").agg(
-        F.count_if("_purchase").alias("_n"), F.max("_bought").alias("_last")
+    bought = purchases.groupBy("user_id", F.unix_micros("event_time").alias("_micros")).agg(
+        F.count("*").alias("_bought"), F.max("event_time").alias("_bought_at")
     )
+    opened = sessions.withColumn("_micros", F.unix_micros("session_start"))
+    stream = opened.unionByName(bought, allowMissingColumns=True)
+    stream = stream.withColumn("_slice", F.floor(F.col("_micros") / (SLICE_SECONDS * 1_000_000)))
+    slices = stream.groupBy("user_id", "_slice").agg(F.sum("_bought").alias("_n"), F.max("_bought_at").alias("_last"))
     earlier = W.partitionBy("user_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = slices.select(
         "user_id",
@@ -97,27 +92,21 @@ def _with_history(sessions: DataFrame, purchases: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
         F.max("_last").over(earlier).alias("_last_before"),
     )
-    # A session opening and the purchase event itself share the same position; the opening comes first.
-    inside = (
-        W.partitionBy("user_id", "_slice")
-        .orderBy("_second", "_id", "_purchase")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    joined = stream.join(carried, ["user_id", "_slice"])
-    counted = joined.select(
+    before = W.partitionBy("user_id", "_slice").orderBy("_micros").rangeBetween(W.unboundedPreceding, -1)
+    counted = stream.join(carried, ["user_id", "_slice"]).select(
         *sessions.columns,
-        "_purchase",
-        (F.col("_n_before") + F.coalesce(F.sum(F.col("_purchase").cast("long")).over(inside), F.lit(0))).alias(
-            "prior_purchase_count"
-        ),
-        F.coalesce(F.last("_bought", ignorenulls=True).over(inside), F.col("_last_before")).alias("_last_purchase"),
+        "_bought",
+        (F.col("_n_before") + F.coalesce(F.sum("_bought").over(before), F.lit(0))).alias("prior_purchase_count"),
+        F.coalesce(F.max("_bought_at").over(before), F.col("_last_before")).alias("_last_purchase"),
     )
-    return counted.where(~F.col("_purchase"))
+    return counted.where(F.col("_bought").isNull())
 
 
 def propensity_features(ev: DataFrame, cutoff: int = 3, spec: PeriodSpec = DEFAULT) -> DataFrame:
-    """Features from the first events, label from the later ones, history from before the session."""
-    id_col = "event_id" if "event_id" in ev.columns else "product_id"
+    """Features from the first events, label from the later ones, history from strictly before the session.
+
+    Runs a Spark job when called: the openings of all sessions are written.
+    """
     kept = ev.where(spec.kept(C.day(ev)))
     named = kept.where(F.col("user_session").isNotNull())
     totals = named.groupBy("user_session").agg(
@@ -134,9 +123,7 @@ def propensity_features(ev: DataFrame, cutoff: int = 3, spec: PeriodSpec = DEFAU
         .withColumn(LABEL, F.col("_purchases") > F.col("_early_purchases"))
         .drop("_early_purchases", "_purchases", "_length")
     )
-    purchases = kept.where(C.is_type(vocab.PURCHASE)).select(
-        "user_id", F.unix_seconds("event_time").alias("_second"), F.col(id_col).alias("_id"), "event_time"
-    )
+    purchases = kept.where(C.is_type(vocab.PURCHASE)).select("user_id", "event_time")
     # Read twice below; written so that the first events of all sessions are looked up only once.
     history = _with_history(written(sessions, "session-openings"), purchases)
     return history.select(
@@ -155,10 +142,11 @@ def _as_numbers(features: DataFrame) -> DataFrame:
     return features.withColumns({**numbers, "label": F.col(LABEL).cast("double")})
 
 
-def fit_propensity(features: DataFrame, max_iter: int = 20, holdout: str = HOLDOUT) -> PipelineModel:
+def fit_propensity(features: DataFrame, max_iter: int = 200, holdout: str = HOLDOUT) -> PipelineModel:
     """Logistic regression on the pre period; classes are weighted so that both count the same.
 
-    Missing values take the feature's mean and features are standardised. Training passes over the features many
+    Missing values take the feature's mean (0 where no session has the feature) and features are standardised. Raises
+    if ``max_iter`` steps do not reach the optimum. Training passes over the features many
     times: give it a stored table. The returned model is saved with ``model.save(path)``.
     """
     train = _as_numbers(features.where(~F.col(holdout)))
@@ -167,14 +155,18 @@ def fit_propensity(features: DataFrame, max_iter: int = 20, holdout: str = HOLDO
     weight = F.when(F.col("label") == 1.0, rows / (2.0 * max(positive, 1.0))).otherwise(
         rows / (2.0 * max(rows - positive, 1.0))
     )
-    filled = [f"{c}_filled" for c in FEATURES]
+    means = train.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in FEATURES]).first()
+    filled = [f"coalesce({c}, cast('{means[c]!r}' AS double)) AS {c}_filled" for c in FEATURES]
     pipeline = Pipeline(stages=[
-        Imputer(inputCols=FEATURES, outputCols=filled, strategy="mean"),
-        VectorAssembler(inputCols=filled, outputCol="raw_features"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}_filled" for c in FEATURES], outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter),
+        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-9),
     ])
-    return pipeline.fit(train.withColumn("weight", weight))
+    model = pipeline.fit(train.withColumn("weight", weight))
+    if model.stages[-1].summary.totalIterations >= max_iter:
+        raise RuntimeError(f"training has not converged after {max_iter} steps")
+    return model
 
 
 def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -187,11 +179,24 @@ def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_propensity(scored: DataFrame, threshold: float = 0.5, auc_bins: int = 1000) -> DataFrame:
-    """Precision, recall, accuracy, F1, log loss and area under the ROC curve in one row.
+def roc_area(scored: DataFrame) -> DataFrame:
+    """One row: the exact area under the ROC curve (share of pairs in the right order, ties half); NULL for one class.
 
-    The area is taken over about ``auc_bins`` points of the curve; 0 uses every distinct score.
+    Labels are counted per score. Scores fall into 4096 equal ranges; sums of ranges and running sums inside a range
+    give the negatives below each score, so no task sees all scores.
     """
+    by_score = scored.groupBy("purchase_prob").agg(F.sum(LABEL).alias("pos"), F.sum(1 - F.col(LABEL)).alias("neg"))
+    by_score = by_score.withColumn("_range", F.floor(F.col("purchase_prob") * 4096))
+    ranges = by_score.groupBy("_range").agg(F.sum("neg").alias("_neg"))
+    below = ranges.select("_range", (F.sum("_neg").over(W.orderBy("_range")) - F.col("_neg")).alias("_below"))
+    inside = W.partitionBy("_range").orderBy("purchase_prob")
+    rank = F.col("_below") + F.sum("neg").over(inside) - F.col("neg") / 2
+    won = by_score.join(below, "_range").withColumn("_won", F.col("pos") * rank)
+    return won.agg(C.ratio(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("area"))
+
+
+def evaluate_propensity(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Precision, recall, accuracy, F1, log loss and area under the ROC curve in one row."""
     said, real = F.col("purchase_prob") >= threshold, F.col(LABEL) == 1
     prob = F.greatest(F.least(F.col("purchase_prob"), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = -F.when(real, F.log(prob)).otherwise(F.log(1 - prob))
@@ -202,29 +207,31 @@ def evaluate_propensity(scored: DataFrame, threshold: float = 0.5, auc_bins: int
         F.count("*").alias("n"),
         F.avg(loss).alias("log_loss"),
     )
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="purchase_prob", labelCol="_label", numBins=auc_bins)
-    area = evaluator.evaluate(scored.withColumn("_label", F.col(LABEL).cast("double")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.select(
+    both = counts.withColumn("_one", F.lit(1)).join(roc_area(scored).withColumn("_one", F.lit(1)), "_one")  # one row each
+    return both.select(
         C.ratio(tp, tp + fp, 6).alias("precision"),
         C.ratio(tp, tp + fn, 6).alias("recall"),
         C.ratio(F.col("n") - fp - fn, F.col("n"), 6).alias("accuracy"),
         C.ratio(2 * tp, 2 * tp + fp + fn, 6).alias("f1_score"),
         F.round("log_loss", 6).alias("log_loss"),
-        F.round(F.lit(area), 6).alias("roc_auc"),
+        F.round("area", 6).alias("roc_auc"),
     )
 
 
 def roc_curve(scored: DataFrame, thresholds: int = 100) -> DataFrame:
-    """Recall and false positive rate at evenly spaced thresholds.
+    """Recall and false positive rate at evenly spaced thresholds, from 0 to 1.
 
-    Scores are counted per threshold step first; the running sums then work on
-    at most ``thresholds`` + 1 rows.
+    Scores are counted per threshold step first; the running sums then work on ``thresholds`` + 1 rows. A score equal to
+    a threshold reaches it: the step found by multiplication is checked against the thresholds beside it.
     """
-    step = F.floor(F.col("purchase_prob") * thresholds).cast("int").alias("step")
-    steps = scored.groupBy(step).agg(
+    prob, near = F.col("purchase_prob"), F.floor(F.col("purchase_prob") * thresholds)
+    exact = F.when((near + 1) / thresholds <= prob, near + 1).when(near / thresholds > prob, near - 1).otherwise(near)
+    counted = scored.groupBy(exact.cast("long").alias("step")).agg(
         F.sum(LABEL).alias("positives"), F.sum(1 - F.col(LABEL)).alias("negatives")
     )
+    steps = scored.sparkSession.range(thresholds + 1).withColumnRenamed("id", "step").join(counted, "step", "left")
+    steps = steps.fillna(0, ["positives", "negatives"])
     from_top = W.orderBy(F.desc("step"))
     everything = W.partitionBy()
     return (
@@ -247,7 +254,7 @@ def roc_curve(scored: DataFrame, thresholds: int = 100) -> DataFrame:
 
 
 def decile_lift(scored: DataFrame, tiles: int = 10) -> DataFrame:
-    """Share of all purchases found in each tenth of the sessions, best scores first."""
+    """Share of all purchases found in each tenth of the sessions, best scores first. Runs Spark jobs when called."""
     ranked = add_ntiles(scored, [Score("score_decile", -F.col("purchase_prob"))], "user_session", tiles)
     by_tile = ranked.groupBy("score_decile").agg(
         F.count("*").alias("sessions_in_decile"),

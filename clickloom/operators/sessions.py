@@ -20,6 +20,7 @@ def sessionize(ev: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFra
     gap, so a session can only start with the first event of a slice. Events are
     therefore first reduced to one row per (user, slice); the window per user
     runs over those rows only, and no task ever sorts all events of a busy user.
+    Events without a ``key`` stay and have no session.
     """
     width = min(gap_seconds, SLICE_SECONDS)
     sliced = ev.withColumn("_slice", C.time_slice(width))
@@ -29,10 +30,9 @@ def sessionize(ev: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFra
     by_user = W.partitionBy(key).orderBy("_slice")
     pause = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(by_user))
     starts = slices.withColumn("_new", F.when(pause <= gap_seconds * 1_000_000, 0).otherwise(1))
-    numbered = starts.select(
-        key, "_slice", F.concat_ws("-", F.col(key), F.sum("_new").over(by_user)).alias("user_session")
-    )
-    return sliced.join(numbered, [key, "_slice"]).drop("_slice")
+    session = F.when(F.col(key).isNotNull(), F.concat_ws("-", F.col(key), F.sum("_new").over(by_user)))
+    numbered = starts.where(F.col(key).isNotNull()).select(key, "_slice", session.alias("user_session"))
+    return sliced.join(numbered, [key, "_slice"], "left").drop("_slice")
 
 
 def session_stats(ev: DataFrame) -> DataFrame:
@@ -108,11 +108,14 @@ def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFra
 
     The position is the number of events in earlier time slices of the session
     (a window over one row per slice) plus the position inside the slice. Only
-    slices that hold a purchase are sorted, and a session with a third of all
-    events is spread over as many groups as it has slices.
+    events of sessions with a purchase are looked at, only slices that hold one
+    are sorted, and a session with a third of all events is spread over as many
+    groups as it has slices.
     """
-    order = C.tie_order(ev)
-    named = ev.where(F.col("user_session").isNotNull()).withColumn("_slice", C.time_slice(slice_seconds))
+    shown = C.tie_columns(ev)
+    named = ev.where(F.col("user_session").isNotNull())
+    buying = named.where(C.is_type(vocab.PURCHASE)).select("user_session").distinct()
+    named = named.join(buying, "user_session", "left_semi").withColumn("_slice", C.time_slice(slice_seconds))
     slices = named.groupBy("user_session", "_slice").agg(
         F.count("*").alias("_events"), C.has_type(vocab.PURCHASE).alias("_buys")
     )
@@ -122,13 +125,13 @@ def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFra
         .where(F.col("_buys") == 1)
         .select("user_session", "_slice", "_before")
     )
-    inside = W.partitionBy("user_session", "_slice").orderBy(*order)
+    inside = W.partitionBy("user_session", "_slice").orderBy(*C.tie_order(ev))
     return (
-        named.select("user_session", "_slice", "event_type", *order)
+        named.select("user_session", "_slice", *dict.fromkeys(["event_type", *shown]))
         .join(carried, ["user_session", "_slice"])
         .withColumn("event_rank", F.col("_before") + F.row_number().over(inside))
         .where(C.is_type(vocab.PURCHASE))
-        .select("user_session", *order, "event_rank")
+        .select("user_session", *shown, "event_rank")
     )
 
 

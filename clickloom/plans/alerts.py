@@ -28,18 +28,29 @@ class AlertSpec:
 
 
 def daily_revenue_zscore(ev: DataFrame, days: int = 7, sigmas: float = 2.0) -> DataFrame:
-    """Daily revenue against the days before it."""
+    """Daily revenue against the days before it; mean and deviation, shown in cents, are not rounded for the score."""
     daily = ev.where(C.is_priced_purchase()).groupBy(C.day(ev).alias("event_date"))
-    return anomaly.daily_zscore(daily.agg(F.round(F.sum("price"), 2).alias("revenue")), "revenue", days, sigmas)
+    scored = anomaly.daily_zscore(
+        daily.agg(F.round(F.sum("price"), 2).alias("revenue")), "revenue", days, sigmas, digits=None
+    )
+    return scored.withColumns({c: F.round(c, 2) for c in (f"rolling_{days}d_avg", f"rolling_{days}d_stddev")})
 
 
 def weekly_top_category_conversion(ev: DataFrame) -> DataFrame:
     """Purchases per view and week of the category with the highest revenue, with the change to the week before."""
+    return _weekly_conversion(ev).drop("_complete")
+
+
+def _weekly_conversion(ev: DataFrame) -> DataFrame:
+    """With ``_complete``: the events reach the last day of the week."""
     weekly = ev.groupBy(C.top_category().alias("top_category"), C.week_start().alias("week_start")).agg(
         C.count_type(vocab.VIEW).alias("views"),
         C.count_type(vocab.PURCHASE).alias("purchases"),
         F.sum(F.when(C.is_priced_purchase(), F.col("price")).otherwise(F.lit(0.0))).alias("revenue"),
+        F.max(C.day(ev)).alias("_last"),
     )
+    last_day = F.max("_last").over(W.partitionBy())  # one row per category and week
+    weekly = weekly.withColumn("_complete", F.date_add("week_start", 6) <= last_day)
     leader = (
         weekly.groupBy("top_category")
         .agg(F.round(F.sum("revenue"), 2).alias("total"))
@@ -56,6 +67,7 @@ def weekly_top_category_conversion(ev: DataFrame) -> DataFrame:
         "week_start",
         "conversion_pct",
         C.pct(F.col("conversion_pct") - before, before, 4).alias("change_pct"),
+        "_complete",
     )
 
 
@@ -90,7 +102,7 @@ def kpi_alerts(ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame
     conversion = funnel.funnel_overall(ev)
     abandonment = funnel.cart_abandonment(ev)
     revenue = _latest(daily_revenue_zscore(ev, sigmas=spec.revenue_sigmas), "event_date")
-    weekly = _latest(weekly_top_category_conversion(ev), "week_start")
+    weekly = _latest(_weekly_conversion(ev).where("_complete"), "week_start")
     outliers = anomaly.price_outlier_summary(ev, spec.accuracy).agg(F.sum("outlier_count").alias("n"))
     bots = anomaly.high_frequency_sessions(ev, spec.bot_events).agg(F.count("*").alias("n"))
     retention = latest_month1_retention(ev if history is None else history, spec.accuracy)
@@ -104,7 +116,7 @@ def kpi_alerts(ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame
         _rule(abandonment, "Cart abandonment rate", "abandonment_rate_pct", lit(spec.abandonment_ceiling_pct),
               F.col("abandonment_rate_pct") > spec.abandonment_ceiling_pct),
         _rule(revenue, "Daily revenue", "z_score", lit(spec.revenue_sigmas),
-              F.abs("z_score") > spec.revenue_sigmas),
+              F.col("anomaly_flag").isin(vocab.FLAG_LOW, vocab.FLAG_HIGH)),
         _rule(weekly, "Top-category conversion", "change_pct", lit(-spec.weekly_drop_pct),
               F.col("change_pct") < -spec.weekly_drop_pct),
         _rule(outliers, "Price outlier count", "n", lit(spec.outlier_baseline), F.col("n") > spec.outlier_baseline),

@@ -246,7 +246,7 @@ def _model_coefficients(ev: DataFrame) -> DataFrame:
 _register(
     fixture.stored_events,
     propensity_features=_features,
-    propensity_evaluation=lambda ev: propensity.evaluate_propensity(_fixed_scores(ev), auc_bins=0),
+    propensity_evaluation=lambda ev: propensity.evaluate_propensity(_fixed_scores(ev)),
     propensity_roc_curve=lambda ev: propensity.roc_curve(_fixed_scores(ev)),
     propensity_decile_lift=lambda ev: propensity.decile_lift(_fixed_scores(ev)),
     propensity_calibration=lambda ev: propensity.calibration(_fixed_scores(ev)),
@@ -293,7 +293,7 @@ _register(
     fixture.order_events,
     events_per_month=tables.events_per_month,
 )
-_register(fixture.base_events, event_type_distribution=tables.event_type_distribution)
+_register(fixture.typed_events, event_type_distribution=tables.event_type_distribution)
 
 
 # Mart

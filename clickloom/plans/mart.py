@@ -32,7 +32,7 @@ class MartSpec:
     top_brands: int = 10
     shifted_categories: int = 6
     bot_events: int = 500
-    months: int = 6
+    months: int | None = None  # offsets shown; all observed ones by default
     accuracy: int = C.QUANTILE_ACCURACY
 
 
@@ -77,9 +77,13 @@ def dim_brand(fact_top_brands: DataFrame, fact_funnel_by_brand: DataFrame) -> Da
     return fact_top_brands.select("Brand").union(fact_funnel_by_brand.select("Brand")).distinct()
 
 
+def _shown(table: DataFrame, spec: MartSpec) -> DataFrame:
+    return table if spec.months is None else table.where(F.col("months_since_first") <= spec.months)
+
+
 def dim_months_since_first(curve: DataFrame, spec: MartSpec) -> DataFrame:
     offset = F.col("months_since_first")
-    return curve.where(offset <= spec.months).select(_offset_label(offset).alias("MonthsSinceFirst"), offset.alias("SortOrder"))
+    return _shown(curve, spec).select(_offset_label(offset).alias("MonthsSinceFirst"), offset.alias("SortOrder"))
 
 
 def dim_cohort_month(retention: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def fact_rfm_monetary_dist(segments: DataFrame, spec: MartSpec) -> DataFrame:
 
 def fact_cohort_retention(retention: DataFrame, spec: MartSpec) -> DataFrame:
     """Observed cells only; unobserved ones have no row."""
-    return retention.where(F.col("months_since_first") <= spec.months).select(
+    return _shown(retention, spec).select(
         _month_label(F.col("cohort_month")).alias("CohortMonth"),
         _offset_label(F.col("months_since_first")).alias("MonthsSinceFirst"),
         F.round(C.ratio(F.col("active_users"), F.col("cohort_users")), 3).alias("RetentionRate"),
@@ -164,7 +168,7 @@ def fact_cohort_retention(retention: DataFrame, spec: MartSpec) -> DataFrame:
 
 
 def fact_retention_curve(curve: DataFrame, spec: MartSpec) -> DataFrame:
-    return curve.where(F.col("months_since_first") <= spec.months).select(
+    return _shown(curve, spec).select(
         _offset_label(F.col("months_since_first")).alias("MonthsSinceFirst"),
         _fraction("avg_retention_pct", 4).alias("AvgRetention"),
         _fraction("min_retention_pct", 4).alias("MinRetention"),

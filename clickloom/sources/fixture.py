@@ -34,8 +34,20 @@ PART_CATEGORIES = {
 SESSION_GAP_SECONDS = 24 * 3600
 
 
+def typed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Time and type of all events, for load checks: also of those types that the shop has no use for."""
+    raw = spark.read.schema(EVENTS_TABLE).parquet(f"{folder}/events.parquet")
+    return raw.select(
+        F.col("ts").cast("timestamp").alias("event_time"),
+        vocab.display_name(F.col("event_type"), {"click": vocab.CART}).alias("event_type"),
+    )
+
+
 def base_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with user, product, price and time; neither session nor product attributes."""
+    """Shop events with user, product, price and time; neither session nor product attributes.
+
+    The test table also holds sign-ups and errors, which are no shop events; ``typed_events`` has them.
+    """
     raw = spark.read.schema(EVENTS_TABLE).parquet(f"{folder}/events.parquet")
     return raw.where(F.col("event_type").isin(list(EVENT_TYPES))).select(
         "event_id",
@@ -66,7 +78,7 @@ def product_events(spark: SparkSession, folder: str) -> DataFrame:
     No join hint: Spark compares the real size of the product file with its
     broadcast threshold.
     """
-    return base_events(spark, folder).join(products(spark, folder), "product_id")
+    return base_events(spark, folder).join(products(spark, folder), "product_id", "left")
 
 
 def session_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +88,7 @@ def session_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def full_events(spark: SparkSession, folder: str) -> DataFrame:
     """All columns of the events table."""
-    return session_events(spark, folder).join(products(spark, folder), "product_id")
+    return session_events(spark, folder).join(products(spark, folder), "product_id", "left")
 
 
 def stored_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +124,4 @@ def lineitem_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("user_id"),
         F.col("l_orderkey").cast("string").alias("user_session"),
     )
-    return items.join(products(spark, folder), "product_id")
+    return items.join(products(spark, folder), "product_id", "left")
