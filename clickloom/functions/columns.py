@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import vocab
 
-# Rank error of percentile_approx is rows / accuracy.
-QUANTILE_ACCURACY = 10_000
-
 
 def is_type(event_type: str) -> Column:
     return F.col("event_type") == event_type

@@ -8,41 +8,42 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
+from clickloom.functions.quantiles import quantiles, value_counts
 from clickloom.sources.stable import written
 
 
-def _quartiles(ev: DataFrame, accuracy: int) -> DataFrame:
+def _price_counts(ev: DataFrame) -> DataFrame:
+    """Purchases per (category, price): everything the outlier tables need, in one pass over the events."""
+    bought = ev.where(C.is_priced_purchase()).select(C.top_category().alias("top_category"), "price")
+    return value_counts(bought, ["top_category"], "price")
+
+
+def _quartiles(counts: DataFrame) -> DataFrame:
     """Quartiles, count and maximum of purchase prices per category.
 
     Written once: it is small, and its real size then decides how it is joined.
     """
-    quartiles = (
-        ev.where(C.is_priced_purchase())
-        .groupBy(C.top_category().alias("top_category"))
-        .agg(
-            F.count("*").alias("total_purchases"),
-            F.percentile_approx("price", [0.25, 0.75], accuracy).alias("_q"),
-            F.max("price").alias("max_price"),
-        )
-        .select("top_category", "total_purchases", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"), "max_price")
+    totals = counts.groupBy("top_category").agg(F.sum("n").alias("total_purchases"), F.max("price").alias("max_price"))
+    both = totals.join(quantiles(counts, ["top_category"], "price", [0.25, 0.75]), "top_category")
+    return written(
+        both.select("top_category", "total_purchases", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "max_price"),
+        "price-quartiles",
     )
-    return written(quartiles, "price-quartiles")
 
 
 def _fence():
     return F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5
 
 
-def price_outlier_summary(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
-    """Purchases above Q3 + 1.5 IQR per category, counted against the rounded fence."""
-    stats = _quartiles(ev, accuracy).withColumn("upper_fence", F.round(_fence(), 2))
+def price_outlier_summary(ev: DataFrame) -> DataFrame:
+    """Purchases above Q3 + 1.5 IQR per category, counted against the rounded fence. Runs Spark jobs when called."""
+    prices = _price_counts(ev)
+    stats = _quartiles(prices).withColumn("upper_fence", F.round(_fence(), 2))
     counts = (
-        ev.where(C.is_type(vocab.PURCHASE))
-        .select(C.top_category().alias("top_category"), "price")
-        .join(stats.select("top_category", "upper_fence"), "top_category")
+        prices.join(stats.select("top_category", "upper_fence"), "top_category")
         .where(F.col("price") > F.col("upper_fence"))
         .groupBy("top_category")
-        .agg(F.count("*").alias("_outliers"))
+        .agg(F.sum("n").alias("_outliers"))
     )
     outliers = F.coalesce(F.col("_outliers"), F.lit(0).cast("long"))
     return (
@@ -63,9 +64,9 @@ def price_outlier_summary(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) ->
     )
 
 
-def price_outliers(ev: DataFrame, n: int = 100, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
-    """The most expensive purchases above the unrounded fence of their category."""
-    stats = _quartiles(ev, accuracy).select("top_category", "q1", "q3")
+def price_outliers(ev: DataFrame, n: int = 100) -> DataFrame:
+    """The most expensive purchases above the unrounded fence of their category. Runs Spark jobs when called."""
+    stats = _quartiles(_price_counts(ev)).select("top_category", "q1", "q3")
     order = C.tie_order(ev)
     flagged = (
         ev.where(C.is_type(vocab.PURCHASE))

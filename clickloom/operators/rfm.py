@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
+from clickloom.functions.quantiles import quantiles, value_counts
 from clickloom.operators.ranking import Score, add_ntiles
 
 REFERENCE_DATE = date(2020, 5, 1)
@@ -88,20 +89,21 @@ def rfm_distribution(segments: DataFrame) -> DataFrame:
     ).orderBy(F.desc("avg_monetary"), "segment")
 
 
-def rfm_monetary_percentiles(segments: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
+def rfm_monetary_percentiles(segments: DataFrame) -> DataFrame:
+    """Exact percentiles per segment. Runs a Spark job when called: the counts of different values are written."""
+    counts = value_counts(segments, ["segment"], "monetary")
     out = segments.groupBy("segment").agg(
         F.count("*").alias("user_count"),
-        F.percentile_approx("monetary", [0.25, 0.5, 0.75, 0.9], accuracy).alias("_q"),
         C.exact_mean(F.col("monetary")).alias("avg_monetary"),
         F.round(F.max("monetary"), 2).alias("max_monetary"),
     )
-    return out.select(
+    return out.join(quantiles(counts, ["segment"], "monetary", [0.25, 0.5, 0.75, 0.9]), "segment").select(
         "segment",
         "user_count",
-        F.round(F.col("_q")[0], 2).alias("p25_monetary"),
-        F.round(F.col("_q")[1], 2).alias("median_monetary"),
-        F.round(F.col("_q")[2], 2).alias("p75_monetary"),
-        F.round(F.col("_q")[3], 2).alias("p90_monetary"),
+        F.round(F.col("q")[0], 2).alias("p25_monetary"),
+        F.round(F.col("q")[1], 2).alias("median_monetary"),
+        F.round(F.col("q")[2], 2).alias("p75_monetary"),
+        F.round(F.col("q")[3], 2).alias("p90_monetary"),
         "avg_monetary",
         "max_monetary",
     ).orderBy(F.desc("median_monetary"), "segment")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
+from clickloom.functions.quantiles import quantiles, value_counts
+from clickloom.sources.stable import written
 
 # Width of the time slices that spread the events of one busy session or user over many tasks.
 SLICE_SECONDS = 900
@@ -52,18 +54,22 @@ def session_stats(ev: DataFrame) -> DataFrame:
     )
 
 
-def session_summary(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
-    stats = session_stats(ev)
-    events = F.percentile_approx("total_events", [0.5, 0.9, 0.95], accuracy)
-    out = stats.agg(
+def session_summary(ev: DataFrame) -> DataFrame:
+    """One row over all sessions, with exact quantiles. Runs Spark jobs when called: sessions are written in short."""
+    stats = written(
+        session_stats(ev).select(F.lit(1).alias("_all"), "total_events", "session_duration_seconds", "converted"), "sessions"
+    )
+    seconds = "session_duration_seconds"
+    events_q = quantiles(value_counts(stats, ["_all"], "total_events"), ["_all"], "total_events", [0.5, 0.9, 0.95])
+    seconds_q = quantiles(value_counts(stats, ["_all"], seconds), ["_all"], seconds, [0.5])
+    out = stats.groupBy("_all").agg(
         F.count("*").alias("total_sessions"),
         F.round(F.avg("total_events"), 2).alias("avg_events_per_session"),
-        events.alias("_events"),
-        F.round(F.avg("session_duration_seconds"), 0).alias("avg_duration_seconds"),
-        F.percentile_approx("session_duration_seconds", 0.5, accuracy).alias("median_duration_seconds"),
+        F.round(F.avg(seconds), 0).alias("avg_duration_seconds"),
         F.count_if(F.col("converted") == 1).alias("purchasing_sessions"),
         F.count_if(F.col("converted") == 0).alias("non_purchasing_sessions"),
     )
+    out = out.join(events_q.withColumnRenamed("q", "_events"), "_all").join(seconds_q.withColumnRenamed("q", "_seconds"), "_all")
     return out.select(
         "total_sessions",
         "avg_events_per_session",
@@ -71,7 +77,7 @@ def session_summary(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataF
         F.col("_events")[1].alias("p90_events"),
         F.col("_events")[2].alias("p95_events"),
         "avg_duration_seconds",
-        "median_duration_seconds",
+        F.col("_seconds")[0].alias("median_duration_seconds"),
         "purchasing_sessions",
         "non_purchasing_sessions",
         C.pct(F.col("purchasing_sessions"), F.col("total_sessions")).alias("purchase_session_pct"),
@@ -135,41 +141,43 @@ def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFra
     )
 
 
-def depth_at_purchase(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
-    ranks = purchase_ranks(ev)
-    out = ranks.agg(
-        F.percentile_approx("event_rank", [0.25, 0.5, 0.75, 0.9], accuracy).alias("_q"),
-        F.round(F.avg("event_rank"), 2).alias("avg_event_rank_at_purchase"),
-        F.max("event_rank").alias("max_event_rank_at_purchase"),
+def depth_at_purchase(ev: DataFrame) -> DataFrame:
+    """How deep in their sessions purchases happen. Runs Spark jobs when called: ranks are counted and written."""
+    counts = value_counts(purchase_ranks(ev).withColumn("_all", F.lit(1)), ["_all"], "event_rank")
+    mean = C.ratio(F.sum(F.col("event_rank") * F.col("n")), F.sum("n"), 2)
+    out = counts.groupBy("_all").agg(
+        mean.alias("avg_event_rank_at_purchase"), F.max("event_rank").alias("max_event_rank_at_purchase")
     )
-    return out.select(
-        F.col("_q")[0].alias("p25_event_rank_at_purchase"),
-        F.col("_q")[1].alias("median_event_rank_at_purchase"),
-        F.col("_q")[2].alias("p75_event_rank_at_purchase"),
-        F.col("_q")[3].alias("p90_event_rank_at_purchase"),
+    return out.join(quantiles(counts, ["_all"], "event_rank", [0.25, 0.5, 0.75, 0.9]), "_all").select(
+        F.col("q")[0].alias("p25_event_rank_at_purchase"),
+        F.col("q")[1].alias("median_event_rank_at_purchase"),
+        F.col("q")[2].alias("p75_event_rank_at_purchase"),
+        F.col("q")[3].alias("p90_event_rank_at_purchase"),
         "avg_event_rank_at_purchase",
         "max_event_rank_at_purchase",
     )
 
 
-def session_profile(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
-    """Converting against other sessions."""
-    stats = session_stats(ev)
+def session_profile(ev: DataFrame) -> DataFrame:
+    """Converting against other sessions. Runs Spark jobs when called: sessions are written in short."""
     seconds = "session_duration_seconds"
+    stats = written(session_stats(ev).select("converted", "total_events", "views", "carts", seconds), "sessions")
+    events_q = quantiles(value_counts(stats, ["converted"], "total_events"), ["converted"], "total_events", [0.5])
+    seconds_q = quantiles(value_counts(stats, ["converted"], seconds), ["converted"], seconds, [0.5])
     return (
         stats.groupBy("converted")
         .agg(
             F.count("*").alias("session_count"),
             F.round(F.avg("total_events"), 2).alias("avg_total_events"),
-            F.percentile_approx("total_events", 0.5, accuracy).alias("median_total_events"),
             F.round(F.avg("views"), 2).alias("avg_views"),
             F.round(F.avg("carts"), 2).alias("avg_carts"),
             F.round(F.avg(seconds) / 60.0, 2).alias("avg_duration_minutes"),
-            F.round(F.percentile_approx(seconds, 0.5, accuracy) / 60.0, 2).alias("median_duration_minutes"),
         )
+        .join(events_q.select("converted", F.col("q")[0].alias("median_total_events")), "converted")
+        .join(seconds_q.select("converted", F.round(F.col("q")[0] / 60.0, 2).alias("median_duration_minutes")), "converted")
         .orderBy(F.desc("converted"))
         .select(
-            F.when(F.col("converted") == 1, "Converting").otherwise("Non-Converting").alias("session_type"),
+        F.when(F.col("converted") == 1, "Converting").otherwise("Non-Converting").alias("session_type"),
             "session_count",
             "avg_total_events",
             "median_total_events",

@@ -24,7 +24,6 @@ class AlertSpec:
     outlier_baseline: int = 500_000
     bot_events: int = 500
     bot_baseline: int = 400
-    accuracy: int = C.QUANTILE_ACCURACY
 
 
 def daily_revenue_zscore(ev: DataFrame, days: int = 7, sigmas: float = 2.0) -> DataFrame:
@@ -85,7 +84,7 @@ def _latest(table: DataFrame, order: str) -> DataFrame:
     return table.orderBy(F.desc(order)).limit(1)
 
 
-def latest_month1_retention(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY) -> DataFrame:
+def latest_month1_retention(ev: DataFrame) -> DataFrame:
     """Month-1 retention of the latest cohort that has one, and the lower quartile of the cohorts before it."""
     first_month = cohort.cohort_retention(ev).where(F.col("months_since_first") == 1)
     latest = F.max("cohort_month").over(W.partitionBy())  # one row per cohort
@@ -93,8 +92,8 @@ def latest_month1_retention(ev: DataFrame, accuracy: int = C.QUANTILE_ACCURACY)
     rate = F.col("retention_rate_pct")
     return marked.agg(
         F.max(F.when(F.col("_is_latest"), rate)).alias("latest_pct"),
-        F.percentile_approx(F.when(~F.col("_is_latest"), rate), 0.25, accuracy).alias("p25_pct"),
-    )
+        F.array_sort(F.collect_list(F.when(~F.col("_is_latest"), rate))).alias("_rates"),  # one per cohort month
+    ).select("latest_pct", F.get("_rates", (F.ceil(F.size("_rates") * 0.25) - 1).cast("int")).alias("p25_pct"))
 
 
 def kpi_alerts(ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame | None = None) -> DataFrame:
@@ -103,9 +102,9 @@ def kpi_alerts(ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame
     abandonment = funnel.cart_abandonment(ev)
     revenue = _latest(daily_revenue_zscore(ev, sigmas=spec.revenue_sigmas), "event_date")
     weekly = _latest(_weekly_conversion(ev).where("_complete"), "week_start")
-    outliers = anomaly.price_outlier_summary(ev, spec.accuracy).agg(F.sum("outlier_count").alias("n"))
+    outliers = anomaly.price_outlier_summary(ev).agg(F.sum("outlier_count").alias("n"))
     bots = anomaly.high_frequency_sessions(ev, spec.bot_events).agg(F.count("*").alias("n"))
-    retention = latest_month1_retention(ev if history is None else history, spec.accuracy)
+    retention = latest_month1_retention(ev if history is None else history)
 
     def lit(value: float) -> Column:
         return F.lit(float(value))

@@ -30,7 +30,6 @@ CATEGORY_SPEC = replace(
 EVENTS_REFERENCE = date(2024, 2, 1)
 ORDERS_REFERENCE = date(2001, 9, 1)
 PRE_DAYS, ONSET_DAYS = 14, 13
-ACCURACY = 1_000_000
 BAND = (1.0, 400.0)
 MART = MartSpec(
     reference_date=EVENTS_REFERENCE,
@@ -45,11 +44,10 @@ MART = MartSpec(
     top_brands=10,
     shifted_categories=3,
     bot_events=10,
-    accuracy=ACCURACY,
 )
 ALERTS = alerts.AlertSpec(
     conversion_floor_pct=90.0, abandonment_ceiling_pct=30.0, outlier_baseline=100, bot_events=10,
-    bot_baseline=100, accuracy=ACCURACY,
+    bot_baseline=100,
 )
 
 
@@ -89,15 +87,15 @@ _register(
 _register(
     fixture.session_events,
     session_stats=sessions.session_stats,
-    session_summary=lambda ev: sessions.session_summary(ev, ACCURACY),
+    session_summary=lambda ev: sessions.session_summary(ev),
     session_depth_buckets=sessions.session_depth_buckets,
-    session_profile=lambda ev: sessions.session_profile(ev, ACCURACY),
+    session_profile=lambda ev: sessions.session_profile(ev),
 )
 
 _register(
     fixture.stored_session_events,
     purchase_ranks=sessions.purchase_ranks,
-    depth_at_purchase=lambda ev: sessions.depth_at_purchase(ev, ACCURACY),
+    depth_at_purchase=lambda ev: sessions.depth_at_purchase(ev),
 )
 
 # RFM
@@ -113,7 +111,7 @@ _register(
     rfm_preview=lambda ev: rfm.rfm_preview(rfm.rfm_segments(ev, ORDERS_REFERENCE), 1000),
     rfm_distribution=lambda ev: rfm.rfm_distribution(rfm.rfm_segments(ev, ORDERS_REFERENCE)),
     rfm_monetary_percentiles=lambda ev: rfm.rfm_monetary_percentiles(
-        rfm.rfm_segments(ev, ORDERS_REFERENCE), ACCURACY
+        rfm.rfm_segments(ev, ORDERS_REFERENCE)
     ),
 )
 
@@ -143,16 +141,16 @@ _register(
 # Anomalies
 _register(
     fixture.product_events,
-    price_outlier_summary=lambda ev: anomaly.price_outlier_summary(ev, ACCURACY),
+    price_outlier_summary=lambda ev: anomaly.price_outlier_summary(ev),
     weekly_category_shift=anomaly.weekly_category_shift,
 )
 _register(
     fixture.lineitem_events,
-    price_outlier_summary_lineitem=lambda ev: anomaly.price_outlier_summary(ev, ACCURACY),
+    price_outlier_summary_lineitem=lambda ev: anomaly.price_outlier_summary(ev),
 )
 _register(
     fixture.stored_events,
-    price_outliers=lambda ev: anomaly.price_outliers(ev, accuracy=ACCURACY),
+    price_outliers=lambda ev: anomaly.price_outliers(ev),
 )
 _register(
     fixture.session_events,

@@ -33,7 +33,6 @@ class MartSpec:
     shifted_categories: int = 6
     bot_events: int = 500
     months: int | None = None  # offsets shown; all observed ones by default
-    accuracy: int = C.QUANTILE_ACCURACY
 
 
 MISLABELED = [code for code, _, flag in vocab.CATEGORY_DIMENSION if flag]
@@ -126,7 +125,7 @@ def fact_session_depth(ev: DataFrame) -> DataFrame:
 
 
 def fact_converting_vs_non(ev: DataFrame, spec: MartSpec) -> DataFrame:
-    return sessions.session_profile(ev, spec.accuracy).select(
+    return sessions.session_profile(ev).select(
         F.col("session_type").alias("SessionType"),
         F.col("session_count").alias("Sessions"),
         F.col("avg_total_events").alias("AvgEvents"),
@@ -148,7 +147,7 @@ def fact_rfm_segment(segments: DataFrame) -> DataFrame:
 
 
 def fact_rfm_monetary_dist(segments: DataFrame, spec: MartSpec) -> DataFrame:
-    return rfm.rfm_monetary_percentiles(segments, spec.accuracy).select(
+    return rfm.rfm_monetary_percentiles(segments).select(
         F.col("segment").alias("Segment"),
         F.col("p25_monetary").alias("P25"),
         F.col("median_monetary").alias("Median"),
@@ -202,7 +201,7 @@ def fact_top_brands(ev: DataFrame, spec: MartSpec) -> DataFrame:
 
 
 def fact_price_outliers(ev: DataFrame, spec: MartSpec) -> DataFrame:
-    return anomaly.price_outlier_summary(ev, spec.accuracy).select(
+    return anomaly.price_outlier_summary(ev).select(
         F.col("top_category").alias("CategoryCode"),
         F.col("total_purchases").alias("TotalPurchases"),
         F.col("q1").alias("Q1"),

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from clickloom.operators import anomaly, cohort, experiment, funnel, propensity, rfm, sessions
-from clickloom.plans.catalog import ACCURACY, SPEC
+from clickloom.plans.catalog import SPEC
 from clickloom.sources import fixture
 from conftest import rows
 
@@ -96,7 +96,7 @@ def _plan(df):
 def test_plans_have_no_cross_join_and_no_row_expansion(spark):
     full, timed = fixture.full_events(spark, FOLDER), fixture.session_events(spark, FOLDER)
     for df in (
-        funnel.funnel_by_category(full), funnel.cart_abandonment(timed), sessions.session_summary(timed, ACCURACY),
+        funnel.funnel_by_category(full), funnel.cart_abandonment(timed), sessions.session_summary(timed),
         sessions.depth_at_purchase(timed), experiment.period_funnel(timed, SPEC),
         experiment.period_session_behavior(timed, SPEC), experiment.weekly_trend(timed, SPEC),
         anomaly.high_frequency_sessions(timed, 10), anomaly.price_outlier_summary(full),
