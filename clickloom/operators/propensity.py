@@ -142,6 +142,15 @@ def _as_numbers(features: DataFrame) -> DataFrame:
     return features.withColumns({**numbers, "label": F.col(LABEL).cast("double")})
 
 
+def _class_weight(train: DataFrame) -> Column:
+    """Weight of a training row by its label, so that both classes count the same."""
+    sizes = train.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
+    rows, positive = sizes["n"], sizes["positive"] or 0.0
+    return F.when(F.col("label") == 1.0, rows / (2.0 * max(positive, 1.0))).otherwise(
+        rows / (2.0 * max(rows - positive, 1.0))
+    )
+
+
 def fit_propensity(features: DataFrame, max_iter: int = 200, holdout: str = HOLDOUT) -> PipelineModel:
     """Logistic regression on the pre period; classes are weighted so that both count the same.
 
@@ -150,11 +159,7 @@ def fit_propensity(features: DataFrame, max_iter: int = 200, holdout: str = HOLD
     times: give it a stored table. The returned model is saved with ``model.save(path)``.
     """
     train = _as_numbers(features.where(~F.col(holdout)))
-    sizes = train.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
-    rows, positive = sizes["n"], sizes["positive"] or 0.0
-    weight = F.when(F.col("label") == 1.0, rows / (2.0 * max(positive, 1.0))).otherwise(
-        rows / (2.0 * max(rows - positive, 1.0))
-    )
+    weight = _class_weight(train)
     means = train.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in FEATURES]).first()
     filled = [f"coalesce({c}, cast('{means[c]!r}' AS double)) AS {c}_filled" for c in FEATURES]
     pipeline = Pipeline(stages=[
@@ -169,6 +174,22 @@ def fit_propensity(features: DataFrame, max_iter: int = 200, holdout: str = HOLD
     return model
 
 
+def fit_residuals(model: PipelineModel, features: DataFrame, holdout: str = HOLDOUT, digits: int = 3) -> DataFrame:
+    """How far the fit is from its optimum: per standardised feature, and for the intercept, the weighted mean of
+    (predicted - actual) * feature over the training sessions. All are 0 at the optimum. Runs a Spark job."""
+    train = _as_numbers(features.where(~F.col(holdout)))
+    scored, weight = model.transform(train), _class_weight(train)
+    error = weight * (vector_to_array("probability")[1] - F.col("label"))
+    values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    means = scored.select(error.alias("_error"), weight.alias("_weight"), values.alias("_x")).agg(
+        F.array(*[F.sum(F.col("_error") * F.col("_x")[i]) / F.sum("_weight") for i in range(len(FEATURES) + 1)]).alias("_mean")
+    )
+    names = F.array(*map(F.lit, [*FEATURES, "intercept"]))
+    return means.select(F.explode(F.arrays_zip(names.alias("feature"), F.col("_mean").alias("residual"))).alias("_r")).select(
+        F.col("_r")["feature"].alias("feature"), F.abs(F.round(F.col("_r")["residual"], digits)).alias("residual")
+    )
+
+
 def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
     """One row per session: label and predicted probability of a purchase."""
     scored = model.transform(_as_numbers(features))

@@ -236,6 +236,11 @@ def _model_scores(ev: DataFrame) -> DataFrame:
     return propensity.score_sessions(propensity.fit_propensity(features), features.where(propensity.HOLDOUT))
 
 
+def _model_residuals(ev: DataFrame) -> DataFrame:
+    features = written(_features(ev), "propensity-features")
+    return propensity.fit_residuals(propensity.fit_propensity(features), features)
+
+
 def _model_coefficients(ev: DataFrame) -> DataFrame:
     features = written(_features(ev), "propensity-features")
     return propensity.coefficients(propensity.fit_propensity(features), features)
@@ -251,6 +256,7 @@ _register(
     propensity_model_evaluation=lambda ev: propensity.evaluate_propensity(_model_scores(ev)),
     propensity_model_scores=_model_scores,
     propensity_model_coefficients=_model_coefficients,
+    propensity_model_residuals=_model_residuals,
 )
 
 
@@ -267,6 +273,15 @@ def events_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def result_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Write a query result as CSV with a header and read it back."""
+    path = scratch_path(spark, "result-csv")
+    result = anomaly.daily_volume_zscore(fixture.base_events(spark, folder))
+    tables.write_csv(result, path)
+    return spark.read.schema(result.schema).option("header", True).csv(path)
+
+
 @query
 def events_pruned_read(spark: SparkSession, folder: str) -> DataFrame:
     """Write the day-partitioned table in two loads and read the purchases of a date range."""
@@ -373,7 +388,6 @@ _register(
     measure_weighted_avg_price=measures.weighted_avg_price,
     measure_weighted_avg_price_by_category=lambda t: measures.weighted_avg_price(t, ["CategoryCode"]),
     measure_purchase_volume_median=measures.category_purchase_volume_median,
-    measure_top_category_share=measures.top_category_share,
 )
 _register(
     lambda spark, folder: mart.fact_top_brands(fixture.product_events(spark, folder), MART),
@@ -450,6 +464,12 @@ def measure_top_converting_category(spark: SparkSession, folder: str) -> DataFra
     )
 
 
+@query
+def measure_top_category_share(spark: SparkSession, folder: str) -> DataFrame:
+    ev = fixture.product_events(spark, folder)
+    return measures.top_category_share(mart.fact_category_performance(ev, MART), mart.dim_category(ev))
+
+
 @query
 def measure_category_bar_color(spark: SparkSession, folder: str) -> DataFrame:
     ev = fixture.product_events(spark, folder)

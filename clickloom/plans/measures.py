@@ -263,12 +263,15 @@ def _top_share(table: DataFrame, name: str, value: str) -> DataFrame:
     return _top(shares, name, F.col(value))
 
 
-def top_category_share(fact_category_performance: DataFrame) -> DataFrame:
-    """Category with the highest revenue and its share of the categories shown."""
-    return _top_share(fact_category_performance, "CategoryCode", "TotalRevenue").select(
+def top_category_share(fact_category_performance: DataFrame, dim_category: DataFrame) -> DataFrame:
+    """Category with the highest revenue, its share of the categories shown, display name and mislabeled flag."""
+    top = _top_share(fact_category_performance, "CategoryCode", "TotalRevenue")
+    return top.join(dim_category, "CategoryCode", "left").select(
         F.col("CategoryCode").alias("top_category"),
         F.col("TotalRevenue").alias("revenue"),
         F.col("_share").alias("revenue_share"),
+        F.col("DisplayName").alias("display_name"),
+        (F.col("TaxonomyMislabeledFlag") == "Y").alias("is_mislabeled"),
     )
 
 
@@ -359,8 +362,8 @@ def insights(kpis: DataFrame, mart: dict[str, DataFrame]) -> DataFrame:
             "%s converts best at %s.", category_name, pct(F.col("conversion_rate"), 2),
         ),
         page(
-            "Category", top_category_share(mart["FactCategoryPerformance"]),
-            "%s brings %s of the revenue of the categories shown.", "top_category", pct(F.col("revenue_share")),
+            "Category", top_category_share(mart["FactCategoryPerformance"], mart["DimCategory"]),
+            "%s brings %s of the revenue of the categories shown.", category_name, pct(F.col("revenue_share")),
         ),
         page(
             "Brand", top_brand_share(mart["FactTopBrands"]),

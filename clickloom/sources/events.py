@@ -12,12 +12,13 @@ from clickloom.functions import columns as C
 from clickloom.sources.schema import CSV_EVENTS, EVENT_TIME_FORMAT, EVENTS
 
 
-def read_events_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_events_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Text files (plain or .gz) with a header line, read with the fixed schema.
 
-    A quoted field may hold a line break, as in the original loader. Such files
-    cannot be split, so each is one task; pass ``multi_line=False`` for plain
-    files known to have no quoted line breaks and Spark reads them in parallel.
+    Plain files are split and read in parallel. A quoted field that holds a line
+    break needs ``multi_line=True``, which makes each file one task; without it
+    such a line raises. That check needs all columns of every line, so columns
+    are not pruned while parsing.
     """
     raw = (
         spark.read.schema(CSV_EVENTS)
@@ -25,6 +26,7 @@ def read_events_csv(spark: SparkSession, path: str | list[str], multi_line: bool
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
     return raw.withColumn("event_time", F.to_timestamp("event_time", EVENT_TIME_FORMAT))

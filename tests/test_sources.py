@@ -28,12 +28,23 @@ def test_csv_with_quoted_line_break_and_gzip(spark, tmp_path):
     with gzip.open(packed, "wt") as f:
         f.write(HEADER + LINES)
     for path in (plain, packed):
-        ev = tables.read_events_csv(spark, str(path))
+        ev = tables.read_events_csv(spark, str(path), multi_line=True)
         assert [(f.name, f.dataType) for f in ev.schema] == [(f.name, f.dataType) for f in EVENTS]
         first, second = ev.orderBy("event_time").collect()
         assert first["event_time"] == datetime(2019, 10, 1) and first["brand"] == "two\nlines"
         assert first["category_code"] is None and second["price"] == 0.0
-    assert rows(tables.events_per_month(tables.read_events_csv(spark, str(plain)))) == [("2019-10", 1), ("2019-11", 1)]
+    assert rows(tables.events_per_month(tables.read_events_csv(spark, str(plain), multi_line=True))) == [("2019-10", 1), ("2019-11", 1)]
+
+
+def test_quoted_line_break_raises_where_lines_are_split(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text(HEADER + LINES)
+    ev = tables.read_events_csv(spark, str(path))
+    for broken in (ev.groupBy("event_type").count(), ev.agg({"*": "count"}), ev):
+        with pytest.raises(Exception, match="MALFORMED|Malformed"):
+            broken.collect()
+    path.write_text(HEADER + LINES.replace("two\nlines", "one line"))
+    assert tables.read_events_csv(spark, str(path)).groupBy().count().first()["count"] == 2
 
 
 def test_layout_is_pruned_and_pushed_down(spark, tmp_path):
