@@ -84,7 +84,7 @@ class _Model:
         self.ctx = self.off + ((self.x1 == self.x2) * 16 + (self.e2 & 3) * 4 + (self.e1 & 3))
         self.w2, self.w1 = self.p2[self.ctx], self.p1[self.ctx]
         left = 4096 - self.w2
-        share1 = (left * self.w1) >> 12
+        share1 = np.clip((left * self.w1) >> 12, 1, left - 1)  # left is at least 32; no share may be empty
         return self.x2, self.x1, self.w2, share1, left - share1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:

@@ -52,6 +52,18 @@ def test_small_blocks(block):
     assert (token_files.decode(token_files.encode(ids, block)) == ids).all()
 
 
+def test_contexts_that_change_their_habits():
+    """Long habits make a prediction's share tiny, and then it comes true after all."""
+    draw = np.random.default_rng(8)
+    parts = [np.tile(p, 300) for p in ([1, 2, 3], [1, 2, 4], [5, 2, 3], [2, 3, 2, 4])]
+    ids = np.concatenate([parts[k] for k in draw.integers(0, 4, 40)])
+    ids[draw.integers(0, len(ids), 300)] = draw.integers(0, 9, 300)
+    assert (token_files.decode(token_files.encode(ids)) == ids).all()
+    for seed in range(20):
+        few = np.random.default_rng(seed).choice([1, 1, 1, 1, 1, 1, 2, 3], 6000)
+        assert (token_files.decode(token_files.encode(few)) == few).all()
+
+
 def test_repeats_compress_and_damage_shows():
     ids = np.tile(np.random.default_rng(0).integers(0, 40_000, 50), 400)
     data = token_files.encode(ids)
