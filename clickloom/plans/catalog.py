@@ -16,7 +16,7 @@ from clickloom.plans import alerts, mart, measures
 from clickloom.plans.mart import MartSpec
 from clickloom.sources import events as tables
 from clickloom.sources import fixture
-from clickloom.sources.stable import scratch_path, written
+from clickloom.sources.stable import scratch_path, stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,11 +206,15 @@ _register(
 
 
 # Propensity
-def _features(ev: DataFrame) -> DataFrame:
-    return propensity.propensity_features(ev, 3, SPEC)
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored features table that all propensity queries read."""
+    return stored_once(
+        spark, folder, "propensity-features",
+        lambda: propensity.propensity_features(fixture.stored_events(spark, folder), 3, SPEC),
+    )
 
 
-def _fixed_scores(ev: DataFrame) -> DataFrame:
+def _fixed_scores(features: DataFrame) -> DataFrame:
     """Scores by a fixed formula, so that the reports on scores can be checked against SQL."""
     logit = (
         F.lit(-0.4)
@@ -221,7 +225,7 @@ def _fixed_scores(ev: DataFrame) -> DataFrame:
         - 0.03 * F.coalesce(F.col("days_since_last_purchase"), F.lit(0))
     )
     return (
-        _features(ev)
+        features
         .where(propensity.HOLDOUT)
         .select(
             "user_session",
@@ -231,32 +235,21 @@ def _fixed_scores(ev: DataFrame) -> DataFrame:
     )
 
 
-def _model_scores(ev: DataFrame) -> DataFrame:
-    features = written(_features(ev), "propensity-features")
+def _model_scores(features: DataFrame) -> DataFrame:
     return propensity.score_sessions(propensity.fit_propensity(features), features.where(propensity.HOLDOUT))
 
 
-def _model_residuals(ev: DataFrame) -> DataFrame:
-    features = written(_features(ev), "propensity-features")
-    return propensity.fit_residuals(propensity.fit_propensity(features), features)
-
-
-def _model_coefficients(ev: DataFrame) -> DataFrame:
-    features = written(_features(ev), "propensity-features")
-    return propensity.coefficients(propensity.fit_propensity(features), features)
-
-
 _register(
-    fixture.stored_events,
-    propensity_features=_features,
-    propensity_evaluation=lambda ev: propensity.evaluate_propensity(_fixed_scores(ev)),
-    propensity_roc_curve=lambda ev: propensity.roc_curve(_fixed_scores(ev)),
-    propensity_decile_lift=lambda ev: propensity.decile_lift(_fixed_scores(ev)),
-    propensity_calibration=lambda ev: propensity.calibration(_fixed_scores(ev)),
-    propensity_model_evaluation=lambda ev: propensity.evaluate_propensity(_model_scores(ev)),
+    _features,
+    propensity_features=lambda features: features,
+    propensity_evaluation=lambda features: propensity.evaluate_propensity(_fixed_scores(features)),
+    propensity_roc_curve=lambda features: propensity.roc_curve(_fixed_scores(features)),
+    propensity_decile_lift=lambda features: propensity.decile_lift(_fixed_scores(features)),
+    propensity_calibration=lambda features: propensity.calibration(_fixed_scores(features)),
+    propensity_model_evaluation=lambda features: propensity.evaluate_propensity(_model_scores(features)),
     propensity_model_scores=_model_scores,
-    propensity_model_coefficients=_model_coefficients,
-    propensity_model_residuals=_model_residuals,
+    propensity_model_coefficients=lambda f: propensity.coefficients(propensity.fit_propensity(f), f),
+    propensity_model_residuals=lambda f: propensity.fit_residuals(propensity.fit_propensity(f), f),
 )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import vocab
 from clickloom.operators.sessions import sessionize
-from clickloom.sources.stable import written
+from clickloom.sources.stable import stored_once
 
 # Schemas of the test tables; stating them saves a job that would look into the files.
 EVENTS_TABLE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -92,12 +92,12 @@ def full_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_events(spark: SparkSession, folder: str) -> DataFrame:
-    """All columns, derived once and written: for operators that read the events more than once."""
-    return written(full_events(spark, folder), "events")
+    """All columns, for operators that read the events more than once: derived and written once in a session."""
+    return stored_once(spark, folder, "events", lambda: full_events(spark, folder))
 
 
 def stored_session_events(spark: SparkSession, folder: str) -> DataFrame:
-    return written(session_events(spark, folder), "session-events")
+    return stored_once(spark, folder, "session-events", lambda: session_events(spark, folder))
 
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:

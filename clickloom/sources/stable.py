@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @cache
@@ -15,13 +17,31 @@ def _local_folder() -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session may do without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder named by spark.checkpoint.dir, or set with setCheckpointDir.
+
+    Only a session on one machine may do without it. On a cluster it has to be one that all executors share; a folder
+    for temporary files is refused there.
+    """
+    one_machine = spark.sparkContext.master.startswith("local")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not one_machine:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    folder = (folder or _local_folder()).rstrip("/")
+    if not one_machine and (folder.removeprefix("file://") + "/").startswith((tempfile.gettempdir() + "/", "/tmp/")):
+        raise RuntimeError(f"{folder} is local to each machine; name a shared folder in spark.checkpoint.dir")
+    return folder
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything this library has written below the scratch folder. Call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/clickloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _STORED.clear()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -42,3 +62,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+# Where a session keeps the tables that many operators read: (application, what it was made from, name) -> path, schema.
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored_once(spark: SparkSession, made_from: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``make()`` gives, written at its first use in the session (or again if it was deleted) and read back."""
+    key = (spark.sparkContext.applicationId, made_from, name)
+    if key not in _STORED or not _exists(spark, _STORED[key][0]):
+        df, path = make(), scratch_path(spark, name)
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
