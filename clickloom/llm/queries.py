@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, token_files, toxicity, url_filter
+from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, token_counts, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -99,6 +99,12 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_index(segments)
 
 
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_counts.vocabulary(tokenizer_path())
+    return token_counts.count(table(spark, folder, "documents"), pieces).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
