@@ -317,13 +317,30 @@ def category_share_delta(
     )
 
 
+def period_days(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> tuple[int, int]:
+    """Days before and after the boundary that the data covers, from its first to its last day, less excluded ones.
+    Runs a Spark job."""
+    first, last = ev.agg(F.min(C.day(ev)), F.max(C.day(ev))).first()
+    if first is None:
+        return 0, 0
+
+    def days(start: date, end: date) -> int:
+        out = sum(start <= d <= end for d in set(spec.excluded))
+        return max(0, (end - start).days + 1 - out)
+
+    return days(max(first, spec.pre_start) if spec.pre_start else first, min(last, spec.pre_end)), days(max(first, spec.onset_start), last)
+
+
 def buyer_mix_daily(
     mix: DataFrame,
     spec: PeriodSpec = DEFAULT,
     pre_days: int = periods.PRE_DAYS,
     onset_days: int = periods.ONSET_DAYS,
 ) -> DataFrame:
-    """Composition, buyers per day and its change; works on the four rows of ``new_vs_returning``."""
+    """Composition, buyers per day and its change; works on the four rows of ``new_vs_returning``.
+
+    The defaults are the published numbers of days; for other periods or data take them from ``period_days``.
+    """
     total = F.sum("unique_buyers").over(W.partitionBy("period"))
     days = F.when(F.col("period") == spec.pre_label, float(pre_days)).otherwise(float(onset_days))
     daily = mix.select(

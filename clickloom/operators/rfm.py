@@ -41,6 +41,7 @@ def rfm_scores(raw: DataFrame, k: int = 5) -> DataFrame:
 def rfm_segments(ev: DataFrame, reference_date: date = REFERENCE_DATE) -> DataFrame:
     scored = rfm_scores(rfm_raw(ev, reference_date))
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    # The published segment rules; the first that holds decides.
     segment = (
         F.when((r >= 4) & (f >= 4) & (m >= 4), "Champion")
         .when((r >= 3) & (f >= 3), "Loyal")

@@ -29,7 +29,6 @@ CATEGORY_SPEC = replace(
 )
 EVENTS_REFERENCE = date(2024, 2, 1)
 ORDERS_REFERENCE = date(2001, 9, 1)
-PRE_DAYS, ONSET_DAYS = 14, 13
 BAND = (1.0, 400.0)
 MART = MartSpec(
     reference_date=EVENTS_REFERENCE,
@@ -172,7 +171,7 @@ _register(
     .groupBy("period").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event")),
     new_vs_returning=lambda ev: experiment.new_vs_returning(ev, SPEC),
     buyer_mix_daily=lambda ev: experiment.buyer_mix_daily(
-        experiment.new_vs_returning(ev, SPEC), SPEC, PRE_DAYS, ONSET_DAYS
+        experiment.new_vs_returning(ev, SPEC), SPEC, *experiment.period_days(ev, SPEC)
     ),
 )
 _register(
