@@ -10,8 +10,8 @@
    none with probability (1 - 0.8**R)**B = 3e-6.
 4. Verification: in every bucket, classes are compared with a leader (a different one each round), on their full sets.
    Verified links join components; buckets that lie in one component are done. Thousands of near copies in a bucket thus
-   take one comparison each. When few buckets are left, all their remaining pairs of different components are compared,
-   by a join that keeps pairs of compatible sizes whose sketches do not rule out the similarity by six standard
+   take one comparison each. When few open pairs are left (PAIRS_PER_MEMBER), or after LEADER_ROUNDS, all remaining pairs
+   of different components in a bucket are compared, by a join that keeps pairs of compatible sizes whose sketches do not rule out the similarity by six standard
    deviations. Pairs inside a component need no comparison: they cannot change it.
 
 Sets are compared by streaming: the members of a leader are dealt out in chunks of some hundred, and the leader's set
@@ -36,10 +36,14 @@ from clickloom.llm.common import written
 
 ROWS, BANDS = 6, 42
 T = ROWS * BANDS
-WORDS64 = (T + 63) // 64
-#: Share of equal coordinates' lowest bits at similarity 0.8 is 0.9; six standard deviations more than 10 % may differ.
-MAX_UNLIKE_BITS = int(T * 0.1 + 6 * (T * 0.09) ** 0.5)
+#: Classes that share a bucket get a finer sketch of so many coordinates, of which the lowest bit is kept. Of two sets at
+#: similarity 0.8 a tenth of these bits differ on average; more by six standard deviations rules the similarity out.
+FINE = 2048
+FINE_WORDS = FINE // 64
+MAX_UNLIKE_BITS = int(FINE * 0.1 + 6 * (FINE * 0.09) ** 0.5)
 LEADER_ROUNDS = 6
+#: Buckets are joined pair by pair once they hold at most so many open pairs for each of their members.
+PAIRS_PER_MEMBER = 50
 CHUNK = 256
 NODE = "struct<a:bigint,b:bigint>"
 U64 = np.uint64
@@ -69,28 +73,28 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of T coordinates for every set; none may be empty."""
-    out = np.full(len(sets) * T, U64(2**64 - 1))
-    filled = np.zeros(len(sets) * T, bool)
+def sketch(sets: list[np.ndarray], size: int = T) -> np.ndarray:
+    """One row of ``size`` coordinates for every set; none may be empty."""
+    out = np.full(len(sets) * size, U64(2**64 - 1))
+    filled = np.zeros(len(sets) * size, bool)
     lengths = np.array([len(s) for s in sets])
     items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
-    for i in range(2 * T):
+    for i in range(2 * size):
         v = _mix(items ^ _round_seed(i))
-        if i < T:
-            at = owner * T + ((v >> U64(32)) * U64(T) >> U64(32)).astype(np.int64)
+        if i < size:
+            at = owner * size + ((v >> U64(32)) * U64(size) >> U64(32)).astype(np.int64)
             v = _mix(v)
         else:
-            at = owner * T + (i - T)
+            at = owner * size + (i - size)
         new = ~filled[at]
         np.minimum.at(out, at[new], v[new])
         filled[at[new]] = True
-        full = filled.reshape(-1, T).all(axis=1)
+        full = filled.reshape(-1, size).all(axis=1)
         if full.all():
             break
         left = ~full[owner]
         items, owner = items[left], owner[left]
-    return out.reshape(-1, T)
+    return out.reshape(-1, size)
 
 
 def _band_keys(sk: np.ndarray) -> np.ndarray:
@@ -101,9 +105,7 @@ def _band_keys(sk: np.ndarray) -> np.ndarray:
 
 
 def _low_bits(sk: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(sk), WORDS64 * 64), np.uint8)
-    bits[:, :T] = (sk & U64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+    return np.packbits((sk & U64(1)).astype(np.uint8), axis=1).view(np.int64)
 
 
 def _node(s: np.ndarray) -> tuple[int, int]:
@@ -112,13 +114,15 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.sum(_mix(s * U64(k)), dtype=U64).view(np.int64)) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _chunks(sets: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[int, int]]:
+def _chunks(sets: list[np.ndarray], most: int = 200_000, least: int = 32) -> Iterator[tuple[int, int]]:
+    """Ranges of sets that are sketched together; a set counts as ``least`` shingles at least, for its sketch's memory."""
     start = total = 0
     for i, s in enumerate(sets):
-        if total and total + len(s) > most:
+        own = max(least, len(s))
+        if total and total + own > most:
             yield start, i
             start, total = i, 0
-        total += len(s)
+        total += own
     if start < len(sets):
         yield start, len(sets)
 
@@ -130,15 +134,14 @@ def _sketched(size: int):
             for start, end in _chunks(sets):
                 some = sets[start:end]
                 has = [k for k, s in enumerate(some) if len(s)]
-                keys, bits = [[] for _ in some], [[] for _ in some]
+                keys = [[] for _ in some]
                 if has:
-                    sk = sketch([some[k] for k in has])
-                    for k, key, bit in zip(has, _band_keys(sk), _low_bits(sk)):
-                        keys[k], bits[k] = key, bit
+                    for k, key in zip(has, _band_keys(sketch([some[k] for k in has]))):
+                        keys[k] = key
                 nodes = [_node(s) for s in some]
                 yield pd.DataFrame({
                     "id": frame["id"].iloc[start:end].to_numpy(), "text_hash": frame["text_hash"].iloc[start:end].to_numpy(),
-                    "a": [n[0] for n in nodes], "b": [n[1] for n in nodes], "n": [len(s) for s in some], "bands": keys, "bits": bits,
+                    "a": [n[0] for n in nodes], "b": [n[1] for n in nodes], "n": [len(s) for s in some], "bands": keys,
                 })
     return run
 
@@ -147,7 +150,12 @@ def _sets(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles(t, size) for t in frame["text"]]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "shingles": [s.tobytes() for s in sets]})
+            for start, end in _chunks(sets, 50_000, FINE // 8):
+                some = sets[start:end]
+                yield pd.DataFrame({
+                    "a": frame["a"].iloc[start:end].to_numpy(), "b": frame["b"].iloc[start:end].to_numpy(), "n": [len(s) for s in some],
+                    "bits": list(_low_bits(sketch(some, FINE))), "shingles": [s.tobytes() for s in some],
+                })
     return run
 
 
@@ -175,6 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("members"))
     salted = pairs.join(sizes, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("members") / CHUNK)).cast("int"))
     salted = salted.select("leader", "member", "salt")
+    sets = sets.select("node", "shingles")
     members = salted.join(sets, salted.member == sets.node).select("leader", "salt", "member", "shingles")
     leaders = salted.select("leader", "salt").distinct()
     leaders = leaders.join(sets, leaders.leader == sets.node).select("leader", "salt", F.lit(None).cast(NODE).alias("member"), "shingles")
@@ -191,26 +200,28 @@ def contracted(links: DataFrame) -> DataFrame | None:
     """(node, root) for the nodes of ``links`` (u, v), root being one node for each component; None without links.
 
     Every node hooks onto its smallest neighbour if that is smaller; links are rewritten to the hooks, and loops and
-    doubles go, until no link is left. Each step is written.
+    doubles go, until no link is left. Each step is written; at the end a node follows the hooks of all steps.
     """
-    edges, roots = written(links.filter("u <> v").distinct(), "links"), None
+    edges, steps = written(links.filter("u <> v").distinct(), "links"), []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "hooks")
-        if roots is None:
-            roots = hooks.select(F.col("u").alias("node"), F.col("to").alias("root"))
-        else:
-            moved = roots.join(hooks, roots.root == hooks.u, "left")
-            roots = written(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        steps.append(hooks)
         first = edges.join(hooks, "u").select(F.col("to").alias("x"), F.col("v").alias("u"))
         second = first.join(hooks, "u").select("x", F.col("to").alias("y"))
         edges = written(
             second.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+    if not steps:
+        return None
+    roots = steps[0].select(F.col("u").alias("node"), F.col("to").alias("root"))
+    for hooks in steps[1:]:
+        moved = roots.join(hooks, roots.root == hooks.u, "left")
+        roots = moved.select("node", F.coalesce("to", "root").alias("root"))
     return roots
 
 
 def _unlike(x: Column, y: Column) -> Column:
-    return reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(WORDS64)))
+    return reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(FINE_WORDS)))
 
 
 def _possible(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
@@ -242,14 +253,14 @@ def components(
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
     sketches = written(keyed.mapInPandas(
-        _sketched(shingle), f"id {kind}, text_hash bigint, a bigint, b bigint, n bigint, bands array<bigint>, bits array<bigint>",
+        _sketched(shingle), f"id {kind}, text_hash bigint, a bigint, b bigint, n bigint, bands array<bigint>",
     ).withColumn("node", F.struct("a", "b")).drop("a", "b"), "sketches")
     nonempty = sketches.filter("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    first = F.min(F.struct(order.alias("o"), "n", "bands", "bits"))
-    classes = written(nonempty.groupBy("node").agg(first.alias("f")).select("node", "f.o", "f.n", "f.bands", "f.bits"), "classes")
+    first = F.min(F.struct(order.alias("o"), "bands"))
+    classes = written(nonempty.groupBy("node").agg(first.alias("f")).select("node", "f.o", "f.bands"), "classes")
 
-    placed = classes.select("node", F.explode("bands").alias("bucket"))
+    placed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     meeting = written(placed.join(shared, "bucket", "left_semi"), "meeting")
     some = written(meeting.select("node").distinct(), "meeting-nodes")
@@ -258,35 +269,34 @@ def components(
     wanted = found.select("node", F.col("o.id").alias("id"), "o.text_hash")
     texts = keyed.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.text_hash = w.text_hash"))
     texts = texts.select("w.node.a", "w.node.b", "d.text")
-    sets = written(texts.mapInPandas(_sets(shingle), "a bigint, b bigint, shingles binary")
-                   .select(F.struct("a", "b").alias("node"), "shingles").dropDuplicates(["node"]), "sets")
-    sketch_of = written(found.select("node", "n", "bits"), "meeting-sketches")
+    texts = texts.dropDuplicates(["a", "b"])
+    sets = written(texts.mapInPandas(_sets(shingle), "a bigint, b bigint, n bigint, bits array<bigint>, shingles binary")
+                   .select(F.struct("a", "b").alias("node"), "n", "bits", "shingles"), "sets")
+    sketch_of = sets.select("node", "n", "bits")
 
-    open_ = written(_open_buckets(meeting.join(labels, "node")), "open-buckets")
+    open_ = meeting.withColumn("comp", F.col("node"))  # every bucket holds several classes
     for turn in range(LEADER_ROUNDS):
-        left = open_.count()
-        if not left:
-            break
-        work = open_.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(
-            ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if turn and work <= 4 * left:
+        sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+            F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+        left, work = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if not left or turn and work <= PAIRS_PER_MEMBER * left:
             break
         full = open_.join(sketch_of, "node")
         leader = full.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp", "n", "bits")).alias("l"))
         fit = (F.col("l.comp") != F.col("comp")) & _possible(F.col("n"), F.col("l.n"), F.col("bits"), F.col("l.bits"), percent)
         pairs = full.join(leader, "bucket").filter(fit).groupBy("node").agg(F.min(F.struct("l.h", "l.node")).alias("l"))
         pairs = written(pairs.select(F.col("l.node").alias("leader"), F.col("node").alias("member")), "leader-pairs")
-        links = written(verified(pairs, sets, percent), "leader-links")
-        if links.isEmpty():
-            break
-        labels = _merge(labels, links)
+        labels = _merge(labels, verified(pairs, sets, percent))
         open_ = written(_open_buckets(meeting.join(labels, "node")), "open-buckets")
-    rest = open_.join(sketch_of, "node")
+    rest = open_.join(sketch_of, "node").join(found.select("node", "bands"), "node")
     x, y = rest.alias("x"), rest.alias("y")
     near = _possible(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent)
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    pairs = written(pairs.select(F.col("x.node").alias("leader"), F.col("y.node").alias("member")).distinct(), "rest-pairs")
-    labels = _merge(labels, written(verified(pairs, sets, percent), "rest-links"))
+    # A pair that meets in several buckets is taken in the first of its bands only.
+    earlier = [F.slice(F.col(f"{side}.bands"), F.lit(1), F.col("x.band")) for side in "xy"]
+    here = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp"))
+    pairs = x.join(y, here & near & ~F.arrays_overlap(*earlier))
+    pairs = written(pairs.select(F.col("x.node").alias("leader"), F.col("y.node").alias("member")), "rest-pairs")
+    labels = _merge(labels, verified(pairs, sets, percent))
 
     labelled = written(classes.select("node", "o").join(labels, "node", "left").select("node", "o", F.coalesce("comp", "node").alias("comp")), "labelled")
     smallest = labelled.groupBy("comp").agg(F.min("o").alias("first"))
