@@ -29,12 +29,14 @@ text; an empty table makes an empty table of segments. A text of any length stay
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -215,6 +217,35 @@ def decode(data: bytes) -> np.ndarray:
     return ids
 
 
+#: Words for which the tokenizer's own steps before its model are simple: Latin letters, digits and signs that are
+#: normalised by lowering, without the apostrophes and brackets that its patterns and special tokens start with.
+SIMPLE = re.compile(r"[!-&(-;=-~\u00a1-\u00ac\u00ae-\u012f\u0132-\u01c3]+")
+_CUT = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class _Pieces(dict):
+    """Ids of the pieces a simple word is cut into, by the tokenizer's model. Remembers up to a bound."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # How byte-level tokenizers write bytes as characters.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        self[piece] = ids = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+    def of(self, word: str) -> list[int]:
+        cut = _CUT.findall(word.lower())
+        return self[cut[0]] if len(cut) == 1 else [i for piece in cut for i in self[piece]]
+
+
 def word_encoder(path: str, separator: str = "<|startoftext|>") -> Callable[[list[str]], list[np.ndarray]]:
     """A function from texts to arrays of ids, by a tokenizer file that cuts at white space and knows ``separator``."""
     from tokenizers import Tokenizer
@@ -224,9 +255,22 @@ def word_encoder(path: str, separator: str = "<|startoftext|>") -> Callable[[lis
     known: dict[bytes, int] = {}  # word -> its place in ``begin`` and ``size``
     flat, begin, size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    pieces = _Pieces(tokenizer.model)
+
     def learn(words: list[bytes]) -> None:
         nonlocal flat, begin, size
         new, begins, sizes, used = [flat], [begin], [size], len(flat)
+        simple, plain = [], []
+        for w in words:
+            (simple if SIMPLE.fullmatch(text := w.decode()) else plain).append((w, text))
+        if simple:
+            parts = [pieces.of(text) for _, text in simple]
+            known.update(zip((w for w, _ in simple), range(len(known), len(known) + len(simple))))
+            new.append(np.fromiter(itertools.chain.from_iterable(parts), np.uint32))
+            sizes.append(np.fromiter(map(len, parts), np.int64, len(parts)))
+            begins.append(np.cumsum(sizes[-1]) - sizes[-1] + used)
+            used += len(new[-1])
+        words = [w for w, _ in plain]
         plain = [w for w in words if raw not in w]
         for some in [plain[i:i + 2000] for i in range(0, len(plain), 2000)] + [[w] for w in words if raw in w]:
             known.update(zip(some, range(len(known), len(known) + len(some))))
