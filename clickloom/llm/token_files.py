@@ -4,15 +4,16 @@ Documents in ascending order of id are turned into token ids, an end id after ea
 parquet table with the columns bucket, seq (their order), doc_ids, lengths, tokens and ``data``, which is
 
     magic "CMR1", block size, tokens, blocks, entries (4 x uint32), ids and frequencies of the order-0 table (uint32 and
-    uint16 each), digits and CRC-32 of the ids of each block (2 x uint32), then each block's digits (uint16).
-    All numbers are little-endian.
+    uint16 each, frequencies uint32 beyond 2**15 entries), digits and CRC-32 of the ids of each block (2 x uint32), then
+    each block's digits (uint16). All numbers are little-endian.
 
 A segment holds whole documents. Its ids are cut into blocks; every block is coded with a fresh model, so it can be
 decoded alone, and is checked against its CRC. The model of a block:
 
 * order 2 and order 1: a table by the last two ids (hashed) and one by the last id, each with the id that followed
   last and a confidence from 0 to 3. Both adapt with every id.
-* order 0: the segment's id frequencies, scaled to 2**16 and stored ahead of its blocks.
+* order 0: the segment's id frequencies, stored ahead of its blocks. They are scaled to 2**16 or, beyond 2**15 different
+  ids, to the power of two that leaves at least half of it to share out, so a segment may hold any number of them.
 * mixing: for each state (both confidences, and whether both predict the same id) adaptive 12-bit weights say how much
   of the interval goes to the order-2 prediction, how much to the order-1 prediction, and what is left for order 0.
 
@@ -48,18 +49,22 @@ BLOCK, SEGMENT = 4096, 4096 * 768
 SLOTS1, SLOTS2 = 12, 13  # bits of the tables' sizes
 KNOWN_WORDS = 400_000
 U64 = np.uint64
-_TOTAL0 = 1 << 16
 _LOW = U64(1 << 48)
 
 
+def _scale0(entries: int) -> tuple[int, str]:
+    """Bits of the sum of the order-0 frequencies and the type each is stored as."""
+    bits = max(16, 1 + (entries - 1).bit_length())
+    return bits, "<u2" if bits == 16 else "<u4"
+
+
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and frequencies that sum to 2**16; each at least 1."""
+    """Ids and frequencies that sum to a power of two (see ``_scale0``); each at least 1, stored less 1."""
     known, count = np.unique(ids, return_counts=True)
-    if len(known) > _TOTAL0 // 2:
-        raise ValueError("more than 32768 different ids in a segment; use smaller segments or merge ids")
-    freq = 1 + (count * (_TOTAL0 - len(known))) // len(ids)
-    freq[np.argmax(count)] += _TOTAL0 - freq.sum()
-    return known.astype(np.uint32), (freq - 1).astype(np.uint16)  # 2**16 itself must fit
+    bits, kind = _scale0(len(known))
+    freq = 1 + (count * ((1 << bits) - len(known))) // len(ids)
+    freq[np.argmax(count)] += (1 << bits) - freq.sum()
+    return known.astype(np.uint32), (freq - 1).astype(kind)  # 2**16 itself must fit
 
 
 class _Model:
@@ -110,6 +115,8 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         return MAGIC + struct.pack("<4I", block, 0, 0, 0)
     ids = np.asarray(ids, np.int64)
     known, less = _order0(ids)
+    bits, kind = _scale0(len(known))
+    cut = U64(12 + bits)
     freq0 = np.zeros(int(known[-1]) + 1, np.int64)
     freq0[known] = less.astype(np.int64) + 1
     cum0 = np.cumsum(freq0) - freq0
@@ -118,7 +125,8 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     padded[:len(ids)] = ids
     by_step = np.ascontiguousarray(padded.reshape(n, block).T)
     model, low, span = _Model(n), np.zeros(n, U64), np.full(n, U64(2**64 - 1))
-    digits, at = np.zeros((n, 2 * steps + 8), np.uint32), np.zeros(n, np.int64)
+    # A step leaves a span of at least 2**(36 - bits), which takes two digits up to 20 bits and three beyond.
+    digits, at = np.zeros((n, (2 if bits <= 20 else 3) * steps + 8), np.uint32), np.zeros(n, np.int64)
     for step in range(steps):
         if step == last and n > 1:
             _flush(low[-1:], digits[-1:], at[-1:])
@@ -129,9 +137,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         x2, x1, w2, w1, w0 = model.predict()
         hit2 = x == x2
         hit1 = (x == x1) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, w2 << 16, ((w2 + w1) << 16) + w0 * cum0[x])).astype(U64)
-        size = np.where(hit2, w2 << 16, np.where(hit1, w1 << 16, w0 * freq0[x])).astype(U64)
-        unit = span >> U64(28)
+        start = np.where(hit2, 0, np.where(hit1, w2 << bits, ((w2 + w1) << bits) + w0 * cum0[x])).astype(U64)
+        size = np.where(hit2, w2 << bits, np.where(hit1, w1 << bits, w0 * freq0[x])).astype(U64)
+        unit = span >> cut
         moved = low + unit * start
         carry = np.flatnonzero(moved < low)
         if len(carry):
@@ -154,7 +162,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n, raw = len(at), ids.astype("<u4")
     heads = np.array([[at[k], zlib.crc32(raw[k * block:(k + 1) * block].tobytes())] for k in range(n)], "<u4")
     body = b"".join(digits[k, :at[k]].astype("<u2").tobytes() for k in range(n))
-    table = known.astype("<u4").tobytes() + less.astype("<u2").tobytes()
+    table = known.astype("<u4").tobytes() + less.astype(kind).tobytes()
     return MAGIC + struct.pack("<4I", block, len(ids), n, len(known)) + table + heads.tobytes() + body
 
 
@@ -173,10 +181,12 @@ def decode(data: bytes) -> np.ndarray:
     if not total:
         return np.empty(0, np.uint32)
     known = np.frombuffer(data, "<u4", entries, 20).astype(np.int64)
-    freq = np.frombuffer(data, "<u2", entries, 20 + 4 * entries).astype(np.int64) + 1
+    bits, kind = _scale0(entries)
+    cut = U64(12 + bits)
+    freq = np.frombuffer(data, kind, entries, 20 + 4 * entries).astype(np.int64) + 1
     cum = np.cumsum(freq) - freq
     of_slot = np.repeat(np.arange(entries), freq)
-    at = 20 + 6 * entries
+    at = 20 + (4 + np.dtype(kind).itemsize) * entries
     heads = np.frombuffer(data, "<u4", 2 * n, at).reshape(n, 2).astype(np.int64)
     stream = np.concatenate([np.frombuffer(data, "<u2", -1, at + 8 * n), np.zeros(8, np.uint16)]).astype(U64)
     pos, end = np.cumsum(heads[:, 0]) - heads[:, 0], len(stream) - 1  # damaged blocks may run on; their checksum tells
@@ -192,15 +202,15 @@ def decode(data: bytes) -> np.ndarray:
             model.cut(n)
             span, code, pos = span[:n], code[:n], pos[:n]
         x2, x1, w2, w1, w0 = model.predict()
-        unit = span >> U64(28)
-        value = np.minimum(code // unit, U64((1 << 28) - 1)).astype(np.int64)
-        hit2 = value < w2 << 16
-        rest = value - ((w2 + w1) << 16)
+        unit = span >> cut
+        value = np.minimum(code // unit, U64((1 << 12 + bits) - 1)).astype(np.int64)
+        hit2 = value < w2 << bits
+        rest = value - ((w2 + w1) << bits)
         hit1 = (rest < 0) & ~hit2
         k = of_slot[np.where(rest < 0, 0, rest // w0)]
         x = np.where(hit2, x2, np.where(hit1, x1, known[k]))
-        start = np.where(hit2, 0, np.where(hit1, w2 << 16, ((w2 + w1) << 16) + w0 * cum[k])).astype(U64)
-        size = np.where(hit2, w2 << 16, np.where(hit1, w1 << 16, w0 * freq[k])).astype(U64)
+        start = np.where(hit2, 0, np.where(hit1, w2 << bits, ((w2 + w1) << bits) + w0 * cum[k])).astype(U64)
+        size = np.where(hit2, w2 << bits, np.where(hit1, w1 << bits, w0 * freq[k])).astype(U64)
         code, span = code - unit * start, unit * size
         model.update(x, hit2, hit1)
         out[step, :n] = x

@@ -72,3 +72,19 @@ def test_repeats_compress_and_damage_shows():
     broken[-20] ^= 1
     with pytest.raises(ValueError):
         token_files.decode(bytes(broken))
+
+
+@pytest.mark.parametrize("kinds", [32_768, 32_769, 49_406, 65_536, 65_537, 1_100_000])
+def test_any_number_of_different_ids_in_a_segment(kinds):
+    draw = np.random.default_rng(kinds)
+    ids = np.concatenate([draw.permutation(kinds), np.full(5000, 7), draw.integers(0, kinds, 5000)])
+    assert (token_files.decode(token_files.encode(ids)) == ids).all()
+
+
+def test_one_text_with_most_of_the_vocabulary(spark):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, " ".join(w.removesuffix("</w>") for w in tokenizer.get_vocab())), (2, "after it")]
+    assert len(set(tokenizer.encode(rows[0][1], add_special_tokens=False).ids)) > 32_768
+    segments = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), 2)
+    got = [tuple(r) for r in token_files.read_index(segments).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got) == plain_index(rows)
