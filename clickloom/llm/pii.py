@@ -6,8 +6,10 @@
 3. Boosted trees (pyspark.ml) see a candidate's format and its context, but not what the base rule decides by (the plus of
    a phone, the check digit of a card, the range of IP parts, the @ of an address). They learn from a bounded sample of
    candidates (of about ``max_docs`` documents) which are those that a base rule accepts.
-4. On a part of that sample kept apart, a threshold is set for each kind: the lowest score from which on at least
-   ``precision`` of the candidates are accepted ones; a kind that never gets there adds nothing.
+4. In one pass over all documents, candidates the trees didn't learn from (all but three quarters of the sample) are
+   counted by kind, score (in steps of 1 / BINS) and whether they are accepted. From these counts a threshold is set for
+   each kind: the lowest score from which on at least ``precision`` of the candidates are accepted ones, 10 at least; a
+   kind that never gets there adds nothing.
 5. Candidates above their threshold that overlap no base span are added, best first, without overlaps.
 
 The trees travel to the tasks as small arrays; each document is read once and gives one row. All patterns take time in
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +38,7 @@ from clickloom.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS, PRECISION = 20_000, 0.98
+BINS = 1024  # a power of two, so that scores and thresholds compare exactly
 #: The base patterns. E-mails are found from the @ outwards and IPs from the start of a number on, which
 #: gives the same matches without trying every start.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -120,9 +124,33 @@ def _training_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in frame["text"]:
             base = set(base_spans(text))
-            rows += [(float(c in base), c[1], features(text, c)) for c in candidates(text)]
+            rows += [(float(c in base), x) for c in candidates(text) if not _apart(x := features(text, c))]
         if rows:
-            yield pd.DataFrame({"label": [r[0] for r in rows], "kind": [r[1] for r in rows], "x": [r[2] for r in rows]})
+            yield pd.DataFrame({"label": [r[0] for r in rows], "x": [r[1] for r in rows]})
+
+
+def _apart(x: list[float]) -> bool:
+    """Whether the trees don't learn from these features. Equal candidates, as exact copies make them, fall on the same side."""
+    return zlib.crc32(np.array(x).tobytes()) % 4 == 0
+
+
+def _counted(trees: Trees):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kinds, labels, rows = [], [], []
+            for text, sampled in zip(frame["text"], frame["sampled"]):
+                base = set(base_spans(text))
+                for c in candidates(text):
+                    x = features(text, c)
+                    if not sampled or _apart(x):
+                        kinds.append(c[1])
+                        labels.append(c in base)
+                        rows.append(x)
+            if rows:
+                bins = np.floor(trees.margin(np.array(rows)) * BINS).astype(np.int64)
+                by, count = np.unique(np.stack([kinds, bins, labels], axis=1), axis=0, return_counts=True)
+                yield pd.DataFrame({"kind": by[:, 0], "bin": by[:, 1], "accepted": by[:, 2] * count, "n": count})
+    return run
 
 
 @dataclass
@@ -165,36 +193,31 @@ def _arrays(root, weight: float) -> tuple:
 
 
 def fit(docs: DataFrame, text_col: str = "text", max_docs: int = MAX_DOCS, precision: float = PRECISION) -> Trees:
-    """Learn from the candidates of about ``max_docs`` documents, those with the smallest hashes. Runs Spark jobs."""
+    """Learn from the candidates of about ``max_docs`` documents, those with the smallest hashes; set thresholds on all. Runs Spark jobs."""
     texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
     share = min(1.0, max_docs / max(1, texts.count()))
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = written(some.mapInPandas(_training_rows, "label double, kind int, x array<double>"), "pii-candidates")
-    # Equal candidates, as exact copies make them, fall on the same side.
-    rows = rows.withColumn("apart", F.pmod(F.xxhash64("x"), F.lit(4)) == 0).withColumn("features", array_to_vector("x"))
-    none = Trees([], [float("inf")] * len(KINDS))
-    learn = rows.filter(~F.col("apart"))
+    sampled = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    learn = written(texts.filter(sampled).mapInPandas(_training_rows, "label double, x array<double>"), "pii-candidates")
     if learn.select("label").distinct().count() < 2:
-        return none
-    model = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=7, maxBins=64).fit(learn.coalesce(4).select("label", "features"))
-    trees = [_arrays(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights)]
-    fitted = Trees(trees, [])
-    apart = rows.filter("apart").select("label", "kind", "x").toPandas()  # a quarter of the bounded sample
-    for kind in range(len(KINDS)):
-        own = apart[apart["kind"] == kind]
-        threshold = float("inf")
-        if len(own):
-            margin, label = fitted.margin(np.array(own["x"].tolist())), own["label"].to_numpy()
-            order = np.argsort(-margin, kind="stable")
-            right = np.cumsum(label[order])
-            good = right / (np.arange(len(order)) + 1.0) >= precision
-            last = np.append(margin[order][1:] != margin[order][:-1], True)  # a threshold takes all candidates of a score
-            ok = np.flatnonzero(good & last & (right >= 10))
-            threshold = float(margin[order][ok[-1]]) if len(ok) else threshold
-        fitted.thresholds.append(threshold)
+        return Trees([], [float("inf")] * len(KINDS))
+    rows = learn.select("label", array_to_vector("x").alias("features"))
+    model = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=7, maxBins=64).fit(rows.coalesce(4))
+    fitted = Trees([_arrays(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights)], [])
+    counted = texts.withColumn("sampled", sampled).mapInPandas(_counted(fitted), "kind int, bin bigint, accepted bigint, n bigint")
+    # Scores are bounded by the trees' leaves, so this has a few thousand rows at most.
+    counts = counted.groupBy("kind", "bin").agg(F.sum("accepted").alias("accepted"), F.sum("n").alias("n")).toPandas()
+    fitted.thresholds = [_threshold(counts[counts["kind"] == kind], precision) for kind in range(len(KINDS))]
     return fitted
 
 
+def _threshold(counts: pd.DataFrame, precision: float) -> float:
+    """The lowest score from which on enough candidates are accepted ones; ``counts`` has bin, accepted, n."""
+    down = counts.sort_values("bin", ascending=False)
+    right, total = down["accepted"].cumsum().to_numpy(), down["n"].cumsum().to_numpy()
+    ok = np.flatnonzero((right >= precision * total) & (right >= 10))
+    return float(down["bin"].iloc[ok[-1]]) / BINS if len(ok) else float("inf")
+
+
 def all_spans(text: str, base: list[Span], trees: Trees) -> list[Span]:
     """Base spans and the candidates that the trees add."""
     if not trees.trees:

@@ -70,6 +70,16 @@ def test_trees_add_phones_without_plus(spark):
     assert sum(n for i, n in got if i != 1000) == 0
 
 
+def test_rare_kinds_get_thresholds_from_all_documents(spark):
+    """One phone in 100 documents; the sample has about 15, a quarter of which is kept apart."""
+    call = lambda i: f"please call +1 ({i % 900:03d}) 555-{i * 37 % 10000:04d} today" if i % 100 == 0 else f"write u{i}@site.example.com"
+    docs = [(i, f"{call(i)} or lot {i * 7919 % 10**7:07d} of x{i}") for i in range(6000)]
+    trees = pii.fit(spark.createDataFrame(docs, "doc_id long, text string"), max_docs=1500)
+    assert trees.thresholds[3] < float("inf")
+    more = spark.createDataFrame([*docs[:200], (9000, "please call 1 (077) 555-1234 today or lot 1234567 of x7")], "doc_id long, text string")
+    assert {r["id"] for r in pii.find(more, trees).collect() if len(r["spans"]) > len(r["base"])} == {9000}
+
+
 def test_without_accepted_candidates(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "1234567 and 12.13.14.15.16")], "doc_id long, text string")
     trees = pii.fit(frame)
