@@ -2,20 +2,24 @@
 
 1. Base rules find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers; their spans always stay.
 2. High-recall generators propose overlapping candidates of the same kinds: addresses with spelled-out signs or without a
-   domain ending, any four dotted numbers, any number of 12 to 19 digits, any grouped number of 7 to 15 digits.
+   domain ending, any four numbers between plain, bracketed or spelled-out dots, any number of 12 to 19 digits with up to
+   two signs between them, any grouped number of 7 to 15 digits.
 3. Boosted trees (pyspark.ml) see a candidate's format and its context, but not what the base rule decides by (the plus of
    a phone, the check digit of a card, the range of IP parts, the @ of an address). They learn from a bounded sample of
-   candidates (of about ``max_docs`` documents) which are those that a base rule accepts.
+   candidates (of about ``max_docs`` documents). Positives are base spans and, for each of them, its rewriting in place
+   that no base rule sees (``rewritten``): spelled-out address, IP with bracketed dots, card grouped by dots or slashes,
+   phone without its plus. Negatives are candidates that stay no personal data when such writing is undone (``plain``);
+   the others, which may be personal data that base rules miss, are unknown and left out.
 4. In one pass over all documents, candidates the trees didn't learn from (all but three quarters of the sample) are
-   counted by kind, score (in steps of 1 / BINS) and whether they are accepted. From these counts a threshold is set for
-   each kind: the lowest score from which on at least ``precision`` of the candidates are accepted ones, 10 at least; a
-   kind that never gets there adds nothing.
+   counted by kind, score (in steps of 1 / BINS) and whether they are positives; base spans, which stay anyway, do not
+   count, only their rewritings. From these counts a threshold is set for each kind: the lowest score from which on at
+   least ``precision`` of the candidates are positives, 10 at least; a kind that never gets there adds nothing.
 5. Candidates above their threshold that overlap no base span are added, best first, without overlaps.
 
 The trees travel to the tasks as small arrays; each document is read once and gives one row. All patterns take time in
 proportion to the text. Offsets are code points, ends are exclusive.
 
-Defined cases: null is the empty text, without spans; without accepted or without other candidates in the sample nothing
+Defined cases: null is the empty text, without spans; without positives or without negatives in the sample nothing
 is added; equal rows give equal results each; a null id is an id.
 """
 
@@ -47,9 +51,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The generators.
-LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?(?:@|\(at\)|\[at\]|[ ]at[ ])[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\.|\(dot\)|\[dot\]|[ ]dot[ ])[ ]?[A-Za-z0-9-]{1,63}){0,8}")
+LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?(?:@|\(at\)|\[at\]|[ ]at[ ])[ ]?[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?|[ ]dot[ ])[A-Za-z0-9-]{1,63}){0,8}")
+LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}(?:(?:\.|\[\.\]|\(\.\)|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?|[ ]dot[ ])[0-9]{1,5}){3}(?![0-9A-Za-z])")
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9][0-9\x20().-]{5,30}[0-9](?![0-9A-Za-z])")
-LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9A-Za-z])")
+LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}(?![0-9A-Za-z])")
+#: How spelled-out signs are written and read back.
+SPELLED = ((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"))
+READ_AT, READ_DOT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?| at "), re.compile(r" ?(?:\(dot\)|\[dot\]|\[\.\]|\(\.\)) ?| dot ")
 WORDS = ("mail", "contact", "phone", "tel", "call", "fax", "card", "visa", "pay", "account", "host", "server", "address", "version", "token", "id")
 FEATURES = 4 + 14 + len(WORDS)
 Span = tuple[int, int, int]  # start, kind, end
@@ -96,6 +104,8 @@ def candidates(text: str) -> list[Span]:
     if "@" in text or "at" in text:
         found.update((m.start(), 0, m.end()) for m in LOOSE_EMAIL.finditer(text))
     found.update((m.start(), 1, m.end()) for m in IP.finditer(text))
+    if "dot" in text or "[.]" in text or "(.)" in text:
+        found.update((m.start(), 1, m.end()) for m in LOOSE_IP.finditer(text))
     found.update((m.start(), 2, m.end()) for m in LOOSE_CARD.finditer(text))
     found.update((m.start(), 3, m.end()) for m in LOOSE_PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15)
     return sorted(s for s in found if s[1] or "@" in text[s[0]:s[2]] or "dot" in text[s[0]:s[2]] or "(at" in text[s[0]:s[2]] or "[at" in text[s[0]:s[2]])
@@ -119,12 +129,53 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def rewritten(s: str, kind: int) -> str | None:
+    """A base span written so that its base rule doesn't see it; None where that would leave an ambiguous number."""
+    way = zlib.crc32(s.encode("utf-8", "replace"))
+    if kind == 0:
+        at, dot = SPELLED[way % len(SPELLED)]
+        local, domain = s.split("@")
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return s.replace(".", ("[.]", "(.)", " dot ", "[dot]")[way % 4])
+    if kind == 2:
+        digits = _digits(s)
+        return ("./"[way % 2]).join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return s[1:] if len(_digits(s)) < len(s) - 1 else None
+
+
+def plain(s: str, kind: int) -> str:
+    """What the base rule is asked about a candidate: its spelled-out signs read back, its plus added if it has groups."""
+    if kind < 2:
+        return READ_AT.sub("@", READ_DOT.sub(".", s), count=1) if kind == 0 else READ_DOT.sub(".", s)
+    if kind == 2:
+        return _digits(s)
+    return s if s.startswith("+") or s.isdigit() else "+" + s.lstrip("(")
+
+
+def judged(text: str) -> Iterator[tuple[bool, bool, int, list[float]]]:
+    """Whether positive, whether a base span, kind and features of the candidates, unknown ones left out, and of rewritings."""
+    base = base_spans(text)
+    known = set(base)
+    for c in candidates(text):
+        if c in known:
+            yield True, True, c[1], features(text, c)
+        elif not any(b[1] == c[1] for b in base_spans(plain(text[c[0]:c[2]], c[1]))):
+            yield False, False, c[1], features(text, c)
+    for start, kind, end in base:
+        if new := rewritten(text[start:end], kind):
+            before = text[max(0, start - 40):start]
+            there = before + new + text[end:end + 40]
+            c = (len(before), kind, len(before) + len(new))
+            if c in candidates(there) and c not in base_spans(there):
+                yield True, False, kind, features(there, c)
+
+
 def _training_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for text in frame["text"]:
-            base = set(base_spans(text))
-            rows += [(float(c in base), x) for c in candidates(text) if not _apart(x := features(text, c))]
+            rows += [(float(good), x) for good, _, _, x in judged(text) if not _apart(x)]
         if rows:
             yield pd.DataFrame({"label": [r[0] for r in rows], "x": [r[1] for r in rows]})
 
@@ -139,12 +190,10 @@ def _counted(trees: Trees):
         for frame in frames:
             kinds, labels, rows = [], [], []
             for text, sampled in zip(frame["text"], frame["sampled"]):
-                base = set(base_spans(text))
-                for c in candidates(text):
-                    x = features(text, c)
-                    if not sampled or _apart(x):
-                        kinds.append(c[1])
-                        labels.append(c in base)
+                for good, seen, kind, x in judged(text):
+                    if not seen and (not sampled or _apart(x)):
+                        kinds.append(kind)
+                        labels.append(good)
                         rows.append(x)
             if rows:
                 bins = np.floor(trees.margin(np.array(rows)) * BINS).astype(np.int64)

@@ -80,6 +80,35 @@ def test_rare_kinds_get_thresholds_from_all_documents(spark):
     assert {r["id"] for r in pii.find(more, trees).collect() if len(r["spans"]) > len(r["base"])} == {9000}
 
 
+def test_trees_add_what_base_rules_cannot_see(spark):
+    """Base spans teach each kind; planted ones are written in ways that no base rule finds."""
+    def card(i: int) -> str:
+        head = f"4{i * 7919 % 10**14:014d}"
+        return head + next(d for d in "0123456789" if pii.luhn(head + d))
+
+    docs = []
+    for i in range(600):
+        docs.append(f"mail jo{i}@site{i}.example.com now, host 10.{i % 250}.3.{i % 200} up, pay by card {card(i)} soon, call +1 ({i:03d}) 555-{i * 37 % 10000:04d} today")
+        docs.append(f"lot {i * 7919 % 10**7:07d} of size x{i}@home or build 10.{i}.400.{i + 300} and order ref {i * 104729 % 10**13:013d}")
+    planted = {0: "mail ann (at) corp (dot) com now", 1: "host 10[.]7[.]3[.]9 up", 2: "pay by card " + "/".join(card(77)[k:k + 4] for k in (0, 4, 8, 12)) + " soon",
+               3: "call 1 (077) 555-1234 today"}
+    rows = [*enumerate(docs, 10), *planted.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in pii.find(frame, pii.fit(frame)).collect()}
+    for kind, text in planted.items():
+        assert not got[kind]["base"]
+        assert [s["kind"] for s in got[kind]["spans"]] == [pii.KINDS[kind]], text
+    assert all(r["base"] == r["spans"] for i, r in got.items() if i >= 10)
+
+
+def test_rewritings_are_candidates_and_read_back():
+    for text, kind in (("jo.b@site.example.com", 0), ("10.0.3.99", 1), ("4111 1111 1111 1111", 2), ("+1 (077) 555-1234", 3)):
+        new = pii.rewritten(text, kind)
+        assert (5, kind, 5 + len(new)) in pii.candidates(f"now: {new} then")
+        assert not any(b[1] == kind for b in pii.base_spans(new))
+        assert any(b[1] == kind for b in pii.base_spans(pii.plain(new, kind)))
+
+
 def test_without_accepted_candidates(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "1234567 and 12.13.14.15.16")], "doc_id long, text string")
     trees = pii.fit(frame)
