@@ -58,3 +58,17 @@ def test_templates_generalise_merge_and_reject(spark):
     assert (late["template"], late["rule"], late["verdict"]) == ("/x/*", None, "block") and late["purity"] > 0.9
     assert by["http://bad.example.org/x/3"]["verdict"] == "allow"
     assert by[urls[0]]["verdict"] == "allow"
+
+
+def test_small_shares_stay_by_their_own_evidence(spark):
+    """Blocked branches below 1% of a host say nothing of the host's other small branches, and are not hidden by them."""
+    urls = [f"http://h.example.com/part{k:03d}x/{i}" for k in range(200) for i in range(100)]
+    urls += [f"http://h.example.com/de/{i}" for i in range(150)] + [f"http://h.example.com/xy{w}/{i}" for w in "abcde" for i in range(20)]
+    urls += [f"http://h.example.com/xya/more{i}x" for i in range(3)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "example.com", "/de/"), *(("block", "example.com", f"/xy{w}/{i}") for w in "abcde" for i in range(1, 10))]
+    by = {urls[r["id"]]: r for r in url_filter.judge(frame, rules).collect()}
+    assert by["http://h.example.com/de/7"]["template"] == "/de/<n>" and by["http://h.example.com/de/7"]["purity"] > 0.9
+    late = by["http://h.example.com/xyc/0"]
+    assert late["template"].startswith("/*") and late["template"] != "/*/<n>" and late["rule"] is None and late["verdict"] == "block"
+    assert {(by[u]["template"], by[u]["verdict"]) for u in urls if "/part" in u} == {("/*/<n>", "allow")}
