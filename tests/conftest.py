@@ -53,7 +53,3 @@ def events(spark):
         return spark.createDataFrame(full, EVENT_FIELDS)
 
     return build
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]

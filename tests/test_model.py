@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 
 from clickloom.operators import propensity as P
-from conftest import rows
+from frames import rows
 
 
 @pytest.fixture(scope="module")

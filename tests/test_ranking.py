@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators.ranking import Score, _tile_ends, add_ntiles
-from conftest import rows
+from frames import rows
 
 
 @pytest.mark.parametrize("n,k", [(1, 5), (3, 5), (5, 5), (7, 5), (12, 5), (13, 10), (100, 10), (101, 10), (1000, 7)])

@@ -9,7 +9,7 @@ import pytest
 from clickloom.operators import anomaly, cohort, experiment, funnel, propensity, rfm, sessions
 from clickloom.plans.catalog import SPEC
 from clickloom.sources import fixture
-from conftest import rows
+from frames import rows
 
 FOLDER = "/root/testdata/sf0.001"
 

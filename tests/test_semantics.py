@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import columns as C
 from clickloom.functions.periods import PeriodSpec
 from clickloom.operators import anomaly, category, cohort, experiment, funnel, propensity, rfm, sessions
-from conftest import rows
+from frames import rows
 
 SPEC = PeriodSpec(pre_end=date(2024, 1, 10), onset_start=date(2024, 1, 12), excluded=(date(2024, 1, 5),))
 

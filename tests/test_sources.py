@@ -12,7 +12,7 @@ from clickloom.sources import events as tables
 from clickloom.sources import fixture
 from clickloom.sources.schema import EVENTS
 from clickloom.sources.stable import scratch_folder
-from conftest import rows
+from frames import rows
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
 # Two lines in the text form of the data, one with a line break inside quotes.
@@ -108,15 +108,17 @@ def test_mart_and_dictionary(spark, tmp_path):
 
 
 class _Session:
-    """Just the two things the scratch folder is chosen by."""
+    """Just the three things the scratch folder is chosen by."""
 
-    def __init__(self, master, folder):
-        self.sparkContext = type("Context", (), {"master": master})
+    def __init__(self, master, folder, checkpoints=None):
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": staticmethod(lambda: checkpoints)})
         self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: folder)})
 
 
 def test_scratch_folder():
     assert scratch_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     assert scratch_folder(_Session("local[2]", None)) == scratch_folder(_Session("local[2]", None))
-    with pytest.raises(RuntimeError):
-        scratch_folder(_Session("yarn", None))
+    assert scratch_folder(_Session("yarn", None, "hdfs:///set/")) == "hdfs:///set"
+    for unset_or_local in (None, "/tmp/x", "file:///tmp/x", "/tmp"):
+        with pytest.raises(RuntimeError):
+            scratch_folder(_Session("yarn", unset_or_local))
