@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, spelling, token_counts, token_files, toxicity, url_filter
+from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, ranked, spelling, token_counts, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -124,6 +124,15 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op10_mix_sources"] = mixing.SQL
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    best = ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+    return best.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLES["op11_ranked_search"] = ranked.SQL
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = spelling.count_words(table(spark, folder, "documents"), min_length=6, min_count=5, typo_every=199)
