@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, fingerprint, maxent_lm, minhash, mixing, pii, ranked, spelling, token_counts, token_files, toxicity, url_filter
+from clickloom.llm import decontaminate, fingerprint, language, maxent_lm, minhash, mixing, pii, ranked, spelling, token_counts, token_files, toxicity, url_filter
 from clickloom.llm.common import table
 
 #: End-of-document id of op7 and the name of its tokenizer file.
@@ -133,6 +133,14 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_ranked_search"] = ranked.SQL
 
 
+@query
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.filter(~language.is_held_out(F.col("doc_id"))))
+    found = language.predict(model, docs)
+    return found.select(F.col("id").alias("doc_id"), "held_out", F.col("lang").alias("lang_pred"), "score", "languages")
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = spelling.count_words(table(spark, folder, "documents"), min_length=6, min_count=5, typo_every=199)
