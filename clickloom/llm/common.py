@@ -28,6 +28,14 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (upper and lower case are alike to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_ordered_bucket(df: DataFrame, by: str, name: str, per_partition: int = 4) -> DataFrame:
     """Add ``name``: an int that never falls as ``by`` (a number) rises, with about equally many rows of each.
 
@@ -44,4 +52,4 @@ def with_ordered_bucket(df: DataFrame, by: str, name: str, per_partition: int =
     return cut.withColumn(name, F.when(F.col(by).isNull(), -1).otherwise(F.col(name).cast("int"))).drop(name + "_value")
 
 
-__all__ = ["SPACE_WORD", "ascii_lower", "if_small", "table", "with_ordered_bucket", "written"]
+__all__ = ["SPACE_WORD", "ascii_lower", "if_small", "table", "unused", "with_ordered_bucket", "written"]

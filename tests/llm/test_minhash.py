@@ -73,12 +73,12 @@ def odd(spark):
     return spark.createDataFrame([(*r, "n", 3, "c") for r in rows], "doc_id long, text string, node string, n int, comp string"), rows
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_odd_rows_equal_brute_force(odd, monkeypatch, rounds):
+@pytest.mark.parametrize("leaders, tile, percent", [(True, 512, 80), (False, 512, 80), (True, 4, 80), (False, 3, 80), (True, 7, 60), (True, 512, 95)])
+def test_odd_rows_equal_brute_force(odd, monkeypatch, leaders, tile, percent):
     frame, rows = odd
-    monkeypatch.setattr(minhash, "LEADER_ROUNDS", rounds)
-    got = minhash.components(frame, shingle=5).collect()
-    want = brute([r[0] for r in rows], [r[1] for r in rows], 5)
+    monkeypatch.setattr(minhash.open_links, "__defaults__", (tile,))
+    got = minhash.components(frame, shingle=5, percent=percent, leaders=leaders).collect()
+    want = brute([r[0] for r in rows], [r[1] for r in rows], 5, percent)
     key = lambda t: tuple((x is None, x or 0) for x in t)
     assert sorted(((r["id"], r["n"], r["first"]["id"]) for r in got), key=key) == sorted(want, key=key)
 
@@ -93,6 +93,29 @@ def test_one_of_each_keeps_columns(odd):
     assert len([r for r in got if not (r["text"] or "").strip()]) == len([w for w in want if not w[1]])
 
 
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 7), (2, "A b c d e f", 8), (3, None, 9)]
+    frame = spark.createDataFrame(rows, "id long, text_hash string, g long").withColumnsRenamed({"text_hash": "Text_Hash"})
+    got = minhash.one_of_each(frame, id_col="id", text_col="Text_Hash").collect()
+    assert sorted(tuple(r) for r in got) == [rows[0], rows[2]]
+
+
+def test_intersections_equal_plain_sets(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    draw = np.random.default_rng(3)
+    left, right = ([np.unique(draw.integers(0, 60, draw.integers(1, 40)).astype(np.uint64)) for _ in range(9)] for _ in "ab")
+    plain = lambda x, y: [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    assert minhash.intersections(left, right).tolist() == plain(left, right)
+    off = ~np.eye(9, dtype=bool)
+    assert (minhash.intersections(left)[off] == np.array(plain(left, left))[off]).all()
+
+
+def test_similarities_with_too_many_bands_are_refused(odd):
+    assert minhash.bands_for(80) == 42
+    with pytest.raises(ValueError):
+        minhash.components(odd[0], percent=40)
+
+
 def test_empty_table(odd):
     assert minhash.components(odd[0].limit(0)).collect() == []
     assert minhash.one_of_each(odd[0].limit(0)).collect() == []
@@ -104,6 +127,6 @@ def test_sketch_estimates_similarity():
     b = np.concatenate([a[:800], np.unique(draw.integers(0, 2**63, 200).astype(np.uint64))])
     for x, y in ((a, b), (a[:3], a[:3]), (a[:1], a[1:2])):
         true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
-        sx, sy = minhash.sketch([np.sort(x), np.sort(y)])
+        sx, sy = minhash.sketch([np.sort(x), np.sort(y)], 252)
         assert abs((sx == sy).mean() - true) < 0.12
-    assert (minhash.sketch([a, b])[0] == minhash.sketch([a])[0]).all()
+    assert (minhash.sketch([a, b], 252)[0] == minhash.sketch([a], 252)[0]).all()
