@@ -208,7 +208,7 @@ _register(
 def _features(spark: SparkSession, folder: str) -> DataFrame:
     """The stored features table that all propensity queries read."""
     return stored_once(
-        spark, folder, "propensity-features",
+        spark, fixture.event_files(folder), "propensity-features",
         lambda: propensity.propensity_features(fixture.stored_events(spark, folder), 3, SPEC),
     )
 
@@ -276,12 +276,13 @@ def result_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def events_pruned_read(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the day-partitioned table in two loads and read the purchases of a date range."""
+    """Write the day-partitioned table in two loads, the second one twice, and read the purchases of a date range."""
     path = scratch_path(spark, "events-table")
     ev = fixture.product_events(spark, folder)
     day = F.to_date("event_time")
     tables.write_events(ev.where(day < F.lit(date(2024, 1, 16))), path)
-    tables.append_events(ev.where(day >= F.lit(date(2024, 1, 16))), path)
+    for _ in range(2):
+        tables.append_events(ev.where(day >= F.lit(date(2024, 1, 16))), path, "second half")
     bought = tables.read_events(spark, path, date(2024, 1, 8), date(2024, 1, 21), "purchase")
     return bought.select("event_id", "event_date", "event_type", "user_id", "price")
 

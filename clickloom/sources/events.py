@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
+from clickloom.sources import versions
 from clickloom.sources.schema import CSV_EVENTS, EVENT_TIME_FORMAT, EVENTS
 
 
@@ -60,13 +61,17 @@ def _laid_out(ev: DataFrame) -> DataFrame:
 
 
 def write_events(ev: DataFrame, path: str) -> None:
-    """Day-partitioned parquet table, sorted by event type inside each file."""
-    _laid_out(ev).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    """Day-partitioned parquet table, sorted by event type inside each file. Replaces the table as a whole."""
+    versions.replace(_laid_out(ev), path, partition_by=["event_date"])
 
 
-def append_events(ev: DataFrame, path: str) -> None:
-    """Add a load (for example one month) to the table, creating it if it is missing."""
-    _laid_out(ev).write.mode("append").partitionBy("event_date").parquet(path)
+def append_events(ev: DataFrame, path: str, load: str) -> bool:
+    """Add a load (for example one month, ``load="2019-10"``) to the table, creating it if it is missing.
+
+    A load that is already there changes nothing and gives False, so a repeated job is harmless; one that fails half-way
+    shows nothing and can be run again.
+    """
+    return versions.append(_laid_out(ev), path, load, partition_by=["event_date"])
 
 
 def read_events(
@@ -77,7 +82,7 @@ def read_events(
     event_type: str | None = None,
 ) -> DataFrame:
     """Table scan; a date range prunes folders, an event type prunes row groups."""
-    ev = spark.read.parquet(path)
+    ev = versions.read(spark, path)
     if start is not None:
         ev = ev.where(F.col("event_date") >= F.lit(start))
     if end is not None:
@@ -88,9 +93,18 @@ def read_events(
 
 
 def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Create or replace a derived table and return it read back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Create or replace a derived table and return it read back.
+
+    Readers see the old table until the new one is complete; a failing job leaves the old one. ``df`` may read the
+    table it replaces. ``versions.clean`` deletes what was replaced.
+    """
+    versions.replace(df, path)
+    return read_table(df.sparkSession, path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``save_table`` has written, as it is now."""
+    return versions.read(spark, path)
 
 
 def events_per_month(ev: DataFrame) -> DataFrame:

@@ -91,13 +91,18 @@ def full_events(spark: SparkSession, folder: str) -> DataFrame:
     return session_events(spark, folder).join(products(spark, folder), "product_id", "left")
 
 
+def event_files(folder: str) -> list[str]:
+    """What ``full_events`` reads."""
+    return [f"{folder}/events.parquet", f"{folder}/part.parquet"]
+
+
 def stored_events(spark: SparkSession, folder: str) -> DataFrame:
     """All columns, for operators that read the events more than once: derived and written once in a session."""
-    return stored_once(spark, folder, "events", lambda: full_events(spark, folder))
+    return stored_once(spark, event_files(folder), "events", lambda: full_events(spark, folder))
 
 
 def stored_session_events(spark: SparkSession, folder: str) -> DataFrame:
-    return stored_once(spark, folder, "session-events", lambda: session_events(spark, folder))
+    return stored_once(spark, event_files(folder)[:1], "session-events", lambda: session_events(spark, folder))
 
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:

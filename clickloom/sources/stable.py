@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from clickloom.sources import files
+
 
 @cache
 def _local_folder() -> str:
@@ -32,16 +35,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def remove_scratch(spark: SparkSession) -> None:
     """Delete everything this library has written below the scratch folder. Call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/clickloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files.delete(spark, f"{scratch_folder(spark)}/clickloom")
     _STORED.clear()
+    _REPLACED.clear()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -64,16 +62,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-# Where a session keeps the tables that many operators read: (application, what it was made from, name) -> path, schema.
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+@dataclass(frozen=True)
+class _Copy:
+    inputs: str  # digest of the input's files
+    path: str
+    schema: StructType
 
 
-def stored_once(spark: SparkSession, made_from: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``make()`` gives, written at its first use in the session (or again if it was deleted) and read back."""
-    key = (spark.sparkContext.applicationId, made_from, name)
-    if key not in _STORED or not _exists(spark, _STORED[key][0]):
-        df, path = make(), scratch_path(spark, name)
-        df.write.parquet(path)
-        _STORED[key] = (path, df.schema)
-    path, schema = _STORED[key]
-    return spark.read.schema(schema).parquet(path)
+# Where a session keeps the tables that many operators read: (application, what it was made from, name) -> the copy.
+_STORED: dict[tuple[str, tuple[str, ...], str], _Copy] = {}
+# Copies that a newer one has replaced.
+_REPLACED: dict[tuple[str, tuple[str, ...], str], list[str]] = {}
+_TRIES = 3
+
+
+def stored_once(spark: SparkSession, made_from: Sequence[str], name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``make()`` gives, written at its first use in the session and read back.
+
+    ``made_from`` names every file or folder that ``make`` reads. Their files' paths, lengths and modification times are
+    compared at each call, so the copy is made again after a write to one of them (or if the copy was deleted); a write
+    while the copy is being made is noticed too. A replaced copy stays for tables read before, until the next
+    replacement or ``remove_replaced``.
+    """
+    key = (spark.sparkContext.applicationId, tuple(made_from), name)
+    inputs, copy = files.fingerprint(spark, made_from), _STORED.get(key)
+    if copy is None or copy.inputs != inputs or not files.exists(spark, copy.path):
+        for _ in range(_TRIES):
+            df, path = make(), scratch_path(spark, name)
+            df.write.parquet(path)
+            before, inputs = inputs, files.fingerprint(spark, made_from)
+            if before == inputs:
+                break
+            files.delete(spark, path)
+        else:
+            raise RuntimeError(f"{', '.join(made_from)} changed each time {name} was made from it")
+        for old in _REPLACED.pop(key, []):
+            files.delete(spark, old)
+        if copy is not None:
+            _REPLACED[key] = [copy.path]
+        copy = _STORED[key] = _Copy(inputs, path, df.schema)
+    return spark.read.schema(copy.schema).parquet(copy.path)
+
+
+def remove_replaced(spark: SparkSession) -> int:
+    """Delete the copies that a newer one has replaced; returns how many. Tables read from them fail from then on."""
+    old = [path for paths in _REPLACED.values() for path in paths]
+    for path in old:
+        files.delete(spark, path)
+    _REPLACED.clear()
+    return len(old)

@@ -9,9 +9,9 @@ from clickloom.operators import anomaly, experiment
 from clickloom.plans import dictionary, mart
 from clickloom.plans.catalog import CATEGORY_SPEC, MART
 from clickloom.sources import events as tables
-from clickloom.sources import fixture
+from clickloom.sources import files, fixture, versions
 from clickloom.sources.schema import EVENTS
-from clickloom.sources.stable import scratch_folder
+from clickloom.sources.stable import remove_replaced, scratch_folder, stored_once
 from frames import rows
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
@@ -51,7 +51,7 @@ def test_layout_is_pruned_and_pushed_down(spark, tmp_path):
     path = str(tmp_path / "events")
     ev = fixture.product_events(spark, "/root/testdata/sf0.001")
     tables.write_events(ev, path)
-    assert len(glob.glob(f"{path}/event_date=*")) == 30
+    assert len(glob.glob(f"{path}/data/*/event_date=*")) == 30
     read = tables.read_events(spark, path, date(2024, 1, 3), date(2024, 1, 4), "purchase").select("user_id", "price")
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
@@ -73,18 +73,106 @@ def test_period_filters_skip_folders(spark, tmp_path):
     assert rows(anomaly.daily_volume_zscore(read)) == rows(anomaly.daily_volume_zscore(ev))
 
 
-def test_append_adds_to_the_table(spark, tmp_path):
+def test_append_adds_a_load_once(spark, tmp_path):
     path = str(tmp_path / "events")
     ev = fixture.base_events(spark, "/root/testdata/sf0.001")
-    tables.append_events(ev.where(F.dayofmonth("event_time") <= 10), path)
-    tables.append_events(ev.where(F.dayofmonth("event_time") > 10), path)
+    early, late = F.dayofmonth("event_time") <= 10, F.dayofmonth("event_time") > 10
+    assert tables.append_events(ev.where(early), path, "a") and tables.append_events(ev.where(late), path, "b")
+    read = tables.read_events(spark, path)
+    assert read.count() == ev.count() and "load" not in read.columns
+    assert not tables.append_events(ev.where(early), path, "a") and not tables.append_events(ev, path, "b")
     assert tables.read_events(spark, path).count() == ev.count()
+    tables.write_events(ev.where(late), path)
+    assert read.count() == ev.count()  # what was read before stays as it was
+    assert tables.read_events(spark, path).count() == ev.where(late).count()
+    assert versions.clean(spark, path) == 2 and len(glob.glob(f"{path}/data/*")) == 1
+    assert tables.read_events(spark, path).count() == ev.where(late).count()
+
+
+def _failing(df):
+    """Fails in a task, after other tasks have written."""
+    return df.withColumn("id", F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("stop")).cast("long")))
+
+
+def test_failed_jobs_show_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(Exception, match="stop"):
+        versions.append(_failing(spark.range(5)), path, "a")
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path)
+    assert versions.append(spark.range(2), path, "a") and versions.append(spark.range(2, 4), path, "b")
+    for change in (lambda df: tables.save_table(df, path), lambda df: versions.append(df, path, "c")):
+        with pytest.raises(Exception, match="stop"):
+            change(_failing(spark.range(5)))
+        assert sorted(rows(tables.read_table(spark, path))) == [(0,), (1,), (2,), (3,)]
+    assert len(glob.glob(f"{path}/data/*")) == 2
 
 
 def test_saved_table_is_replaced(spark, tmp_path):
     path = str(tmp_path / "t")
     assert tables.save_table(spark.range(5), path).count() == 5
-    assert tables.save_table(spark.range(3), path).count() == 3
+    own = tables.save_table(tables.read_table(spark, path).where("id < 3"), path)  # a table may be its own source
+    assert sorted(rows(own)) == [(0,), (1,), (2,)]
+
+
+def test_writers_at_once(spark, tmp_path, monkeypatch):
+    """A manifest made by somebody else in between is not lost, and the same load of two writers counts once."""
+    path, create = str(tmp_path / "t"), files.create_text
+    others = iter([lambda: versions.append(spark.range(1), path, "other"), lambda: versions.append(spark.range(7), path, "mine")])
+
+    def slow(spark_, at, text):
+        other = next(others, None)
+        if other:
+            monkeypatch.setattr(files, "create_text", create)
+            other()
+            monkeypatch.setattr(files, "create_text", slow)
+        return create(spark_, at, text)
+
+    monkeypatch.setattr(files, "create_text", slow)
+    assert not versions.append(spark.range(3), path, "mine")
+    assert {k for k in versions.current(spark, path)} == {"other", "mine"}
+    assert tables.read_table(spark, path).count() == 8 and len(glob.glob(f"{path}/data/*")) == 2
+    (tmp_path / "t/manifests/00000009.json").write_text('{"loads": {"hal')  # a manifest that is just being written
+    assert tables.read_table(spark, path).count() == 8
+
+
+def test_stored_copy_follows_its_input(spark, tmp_path):
+    source, other = str(tmp_path / "in"), str(tmp_path / "other")
+    spark.range(25).write.parquet(source)
+    made = []
+
+    def copy():
+        return stored_once(spark, [source, other], "test-copy", lambda: made.append(1) or spark.read.parquet(source))
+
+    first = copy()
+    assert copy().count() == 25 and len(made) == 1  # unchanged input: the copy is read
+    spark.range(600).write.mode("append").parquet(source)
+    second = copy()
+    assert second.count() == 625 and len(made) == 2 and copy().count() == 625 and len(made) == 2
+    assert first.count() == 25  # still there
+    spark.range(1).write.parquet(other)  # an input that was missing
+    assert copy().count() == 625 and len(made) == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        first.count()
+    assert remove_replaced(spark) >= 1
+    assert copy().count() == 625 and len(made) == 3
+
+
+def test_copy_of_an_input_that_keeps_changing(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+    changes = iter([True])
+
+    def make():
+        df = spark.read.parquet(source)
+        if next(changes, False):
+            spark.range(5).write.mode("append").parquet(source)
+        return df
+
+    assert stored_once(spark, [source], "changing", make).count() == 10
+    endless = lambda: spark.range(1).write.mode("append").parquet(source) or spark.read.parquet(source)
+    with pytest.raises(RuntimeError, match="changed each time"):
+        stored_once(spark, [source], "endless", endless)
 
 
 def test_result_as_csv(spark, tmp_path):
