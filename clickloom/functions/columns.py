@@ -31,6 +31,66 @@ def has_type(event_type: str) -> Column:
     return F.max(F.when(is_type(event_type), 1).otherwise(0))
 
 
+# Most operators take events or partial aggregates of them (clickloom/operators/partials.py): the following read either.
+def is_partial(df: DataFrame) -> bool:
+    return "priced_purchases" in df.columns
+
+
+def stage_column(event_type: str) -> str:
+    return f"{event_type}s"
+
+
+def n_events(df: DataFrame) -> Column:
+    """Aggregate: number of events."""
+    return F.sum("events") if is_partial(df) else F.count("*")
+
+
+def n_type(df: DataFrame, event_type: str) -> Column:
+    """Aggregate: number of events of a type."""
+    return F.sum(stage_column(event_type)) if is_partial(df) else count_type(event_type)
+
+
+def has(df: DataFrame, event_type: str) -> Column:
+    """Aggregate: 1 if the group holds an event of the type, else 0."""
+    return F.max(F.when(F.col(stage_column(event_type)) > 0, 1).otherwise(0)) if is_partial(df) else has_type(event_type)
+
+
+def n_priced(df: DataFrame) -> Column:
+    """Aggregate: number of purchases with a price."""
+    return F.sum("priced_purchases") if is_partial(df) else F.count(F.when(is_priced_purchase(), 1))
+
+
+def revenue(df: DataFrame) -> Column:
+    """Aggregate: exact sum of the prices of purchases, NULL without any."""
+    return F.sum("revenue") if is_partial(df) else F.sum(money(F.when(is_priced_purchase(), F.col("price"))))
+
+
+def first_time(df: DataFrame) -> Column:
+    return F.min("first_time" if is_partial(df) else "event_time")
+
+
+def last_time(df: DataFrame) -> Column:
+    return F.max("last_time" if is_partial(df) else "event_time")
+
+
+def holds_type(df: DataFrame, event_type: str) -> Column:
+    """Filter: rows that are, or stand for, events of the type."""
+    return F.col(stage_column(event_type)) > 0 if is_partial(df) else is_type(event_type)
+
+
+def holds_priced(df: DataFrame) -> Column:
+    return F.col("priced_purchases") > 0 if is_partial(df) else is_priced_purchase()
+
+
+def category(df: DataFrame) -> Column:
+    return F.col("top_category") if "top_category" in df.columns else top_category()
+
+
+def week(df: DataFrame) -> Column:
+    """Monday of the week."""
+    return F.to_date(F.date_trunc("week", day(df))) if is_partial(df) else week_start()
+
+
 def ratio(num: Column, den: Column, digits: int | None = None) -> Column:
     """num / den as double, NULL for a zero denominator."""
     out = F.try_divide(num.cast("double"), den.cast("double"))
@@ -43,26 +103,28 @@ def pct(num: Column, den: Column, digits: int | None = 2) -> Column:
     return out if digits is None else F.round(out, digits)
 
 
-# Money and percentages with two decimals are added as whole ten-thousandths where a mean is rounded to
-# two decimals: sums of whole numbers are exact, so the result does not depend on the order of the rows.
-UNITS = 10_000
+# Money and percentages are added as decimals: such sums are exact, so no result depends on the order or the
+# partitioning of the rows. Amounts up to 1e20 with 8 decimals fit; Spark raises an error for larger ones.
+MONEY = "decimal(28,8)"
 
 
-def units(price: Column) -> Column:
-    return F.rint(price * UNITS).cast("long")
+def money(value: Column) -> Column:
+    return value.cast(MONEY)
 
 
-def mean_of_units(total: Column, rows: Column, digits: int = 2) -> Column:
-    return ratio(total, rows * UNITS, digits)
+def total(value: Column, digits: int | None = None) -> Column:
+    """Aggregate: the exact sum of amounts, as a double."""
+    return amount(F.sum(money(value)), digits)
 
 
-def exact_mean(value: Column, digits: int = 2) -> Column:
-    """Aggregate: mean of values with few decimals."""
-    return mean_of_units(F.sum(units(value)), F.count(value), digits)
+def amount(exact: Column, digits: int | None = 2) -> Column:
+    """An exact sum as a double, rounded first."""
+    return (exact if digits is None else F.round(exact, digits)).cast("double")
 
 
-def from_units(total: Column, digits: int = 2) -> Column:
-    return F.round(total / UNITS, digits)
+def exact_mean(value: Column, digits: int = 2) -> Column:
+    """Aggregate: mean of amounts, from their exact sum."""
+    return ratio(F.sum(money(value)), F.count(value), digits)
 
 
 def event_date() -> Column:

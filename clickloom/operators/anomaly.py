@@ -90,13 +90,21 @@ def price_outliers(ev: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def busy_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
+    """(user_id, user_session, events, purchases) of sessions too long for a human."""
+    counted = ev.groupBy("user_id", "user_session").agg(
+        C.n_events(ev).alias("events"), C.n_type(ev, vocab.PURCHASE).alias("purchases")
+    )
+    return counted.where(F.col("events") > min_events)
+
+
 def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
     """Sessions too long for a human.
 
     Events are counted per session first; only those of the few long sessions are then reduced per (session, product).
     Runs a Spark job when called: the long sessions are written, so that Spark knows how few they are.
     """
-    busy = ev.groupBy("user_id", "user_session").agg(F.count("*").alias("n")).where(F.col("n") > min_events)
+    busy = busy_sessions(ev, min_events)
     busy = written(busy.select(F.col("user_id").alias("_user"), F.col("user_session").alias("_session")), "long-sessions")
     same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("user_session").eqNullSafe(F.col("_session"))
     ev = ev.join(busy, same, "left_semi")
@@ -104,7 +112,7 @@ def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
     by_product = ev.groupBy("user_id", "user_session", "product_id").agg(
         F.count("*").alias("events"),
         C.count_type(vocab.PURCHASE).alias("purchases"),
-        F.sum(price).alias("revenue"),
+        F.sum(C.money(price)).alias("revenue"),
         F.min("event_time").alias("first"),
         F.max("event_time").alias("last"),
         *[C.has_type(t).alias(f"has_{t}") for t in vocab.EVENT_TYPES],
@@ -118,7 +126,7 @@ def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
             F.count("product_id").alias("distinct_products"),
             types.alias("distinct_event_types"),
             F.sum("purchases").alias("purchases"),
-            F.round(F.sum("revenue"), 2).alias("session_revenue"),
+            C.amount(F.sum("revenue")).alias("session_revenue"),
             F.to_date(F.min("first")).alias("session_date"),
             F.round(minutes.cast("double"), 1).alias("session_duration_minutes"),
         )
@@ -128,7 +136,7 @@ def high_frequency_sessions(ev: DataFrame, min_events: int = 500) -> DataFrame:
 
 
 def daily_volume(ev: DataFrame) -> DataFrame:
-    return ev.groupBy(C.day(ev).alias("event_date")).agg(F.count("*").alias("daily_events"))
+    return ev.groupBy(C.day(ev).alias("event_date")).agg(C.n_events(ev).alias("daily_events"))
 
 
 def _rounded(value: Column, digits: int | None) -> Column:
@@ -173,9 +181,9 @@ def weekly_category_shift(ev: DataFrame, names: dict[str, str] | None = None) ->
     """Weekly revenue of a few categories, to date a relabeling of products."""
     names = names or vocab.CATEGORY_NAMES_WEEKLY
     weekly = (
-        ev.where(C.is_priced_purchase() & C.top_category().isin(list(names)))
-        .groupBy(C.week_start().alias("week_start"), C.top_category().alias("raw_category"))
-        .agg(F.count("*").alias("purchase_count"), F.round(F.sum("price"), 2).alias("weekly_revenue"))
+        ev.where(C.holds_priced(ev) & C.category(ev).isin(list(names)))
+        .groupBy(C.week(ev).alias("week_start"), C.category(ev).alias("raw_category"))
+        .agg(C.n_priced(ev).alias("purchase_count"), C.amount(C.revenue(ev)).alias("weekly_revenue"))
     )
     return weekly.orderBy("week_start", "raw_category").select(
         "week_start",

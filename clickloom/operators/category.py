@@ -10,23 +10,19 @@ from clickloom.functions import columns as C
 from clickloom.functions import vocab
 
 
-def _priced() -> Column:
-    return F.when(C.is_priced_purchase(), F.col("price"))
-
-
-def _counts(ev: DataFrame, price: Column) -> DataFrame:
-    return ev.groupBy(C.top_category().alias("raw_category")).agg(
-        C.count_type(vocab.VIEW).alias("total_views"),
-        C.count_type(vocab.CART).alias("total_carts"),
-        C.count_type(vocab.PURCHASE).alias("total_purchases"),
-        F.round(F.sum(F.coalesce(price, F.lit(0.0))), 2).alias("total_revenue"),
-        C.exact_mean(price).alias("avg_purchase_price"),
+def _counts(ev: DataFrame, revenue: Column, priced: Column) -> DataFrame:
+    return ev.groupBy(C.category(ev).alias("raw_category")).agg(
+        C.n_type(ev, vocab.VIEW).alias("total_views"),
+        C.n_type(ev, vocab.CART).alias("total_carts"),
+        C.n_type(ev, vocab.PURCHASE).alias("total_purchases"),
+        F.coalesce(C.amount(revenue), F.lit(0.0)).alias("total_revenue"),
+        C.ratio(revenue, priced, 2).alias("avg_purchase_price"),
     )
 
 
 def category_counts(ev: DataFrame) -> DataFrame:
     """Events, revenue and mean price per category code."""
-    return _counts(ev, _priced())
+    return _counts(ev, C.revenue(ev), C.n_priced(ev))
 
 
 def category_performance(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
@@ -52,7 +48,7 @@ def category_performance(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
 def category_performance_priced(ev: DataFrame, min_views: int = 10_000) -> DataFrame:
     """Variant that drops unpriced carts and purchases as rows instead of inside the sums."""
     price = F.when(C.is_type(vocab.PURCHASE), F.col("price"))
-    counts = _counts(ev.where((F.col("price") > 0) | C.is_type(vocab.VIEW)), price)
+    counts = _counts(ev.where((F.col("price") > 0) | C.is_type(vocab.VIEW)), F.sum(C.money(price)), F.count(price))
     views, purchases = F.col("total_views"), F.col("total_purchases")
     return (
         counts.where(views > min_views)
@@ -64,23 +60,22 @@ def category_performance_priced(ev: DataFrame, min_views: int = 10_000) -> DataF
 
 def brand_ranking(ev: DataFrame, min_purchases: int = 100, n: int = 30) -> DataFrame:
     """Brands by revenue. Reduced per (brand, category) first, which also counts the categories."""
-    zero = F.lit(0).cast("long")
     cells = (
         ev.where(F.col("brand").isNotNull())
-        .groupBy("brand", C.top_category().alias("raw_category"))
+        .groupBy("brand", C.category(ev).alias("raw_category"))
         .agg(
-            C.count_type(vocab.VIEW).alias("views"),
-            C.count_type(vocab.PURCHASE).alias("purchases"),
-            F.sum(F.coalesce(C.units(_priced()), zero)).alias("revenue"),
-            F.count(_priced()).alias("priced"),
+            C.n_type(ev, vocab.VIEW).alias("views"),
+            C.n_type(ev, vocab.PURCHASE).alias("purchases"),
+            C.revenue(ev).alias("revenue"),
+            C.n_priced(ev).alias("priced"),
         )
     )
     return (
         cells.groupBy("brand")
         .agg(
             F.sum("purchases").alias("total_purchases"),
-            C.from_units(F.sum("revenue")).alias("total_revenue"),
-            C.mean_of_units(F.sum("revenue"), F.sum("priced")).alias("avg_purchase_price"),
+            F.coalesce(C.amount(F.sum("revenue")), F.lit(0.0)).alias("total_revenue"),
+            C.ratio(F.sum("revenue"), F.sum("priced"), 2).alias("avg_purchase_price"),
             F.count("*").alias("category_count"),
             C.pct(F.sum("purchases"), F.sum("views")).alias("view_to_purchase_pct"),
         )
@@ -99,7 +94,7 @@ def top_brands_in_top_categories(ev: DataFrame, categories: int = 5, brands: int
     cells = (
         ev.where(C.is_priced_purchase())
         .groupBy(C.top_category().alias("raw_category"), "brand")
-        .agg(F.count("*").alias("total_purchases"), F.sum(C.units(F.col("price"))).alias("revenue"))
+        .agg(F.count("*").alias("total_purchases"), F.sum(C.money(F.col("price"))).alias("revenue"))
     )
     leaders = (
         cells.groupBy("raw_category")
@@ -115,8 +110,8 @@ def top_brands_in_top_categories(ev: DataFrame, categories: int = 5, brands: int
             "raw_category",
             "brand",
             "total_purchases",
-            C.from_units(F.col("revenue")).alias("total_revenue"),
-            C.mean_of_units(F.col("revenue"), F.col("total_purchases")).alias("avg_purchase_price"),
+            C.amount(F.col("revenue")).alias("total_revenue"),
+            C.ratio(F.col("revenue"), F.col("total_purchases"), 2).alias("avg_purchase_price"),
         )
     )
     rank = F.row_number().over(W.partitionBy("raw_category").orderBy(F.desc("total_revenue"), "brand"))
@@ -140,11 +135,11 @@ def monthly_category_trend(ev: DataFrame, n: int = 8) -> DataFrame:
     monthly = (
         ev.where(C.is_priced_purchase())
         .groupBy(C.top_category().alias("raw_category"), C.year_month().alias("month"))
-        .agg(F.round(F.sum("price"), 2).alias("monthly_revenue"), F.count("*").alias("purchase_count"))
+        .agg(F.sum(C.money(F.col("price"))).alias("revenue"), F.count("*").alias("purchase_count"))
     )
     leaders = (
         monthly.groupBy("raw_category")
-        .agg(F.sum("monthly_revenue").alias("revenue"))
+        .agg(F.sum("revenue").alias("revenue"))
         .orderBy(F.desc("revenue"), "raw_category")
         .limit(n)
         .select("raw_category")
@@ -154,7 +149,7 @@ def monthly_category_trend(ev: DataFrame, n: int = 8) -> DataFrame:
         .select(
             vocab.display_name(F.col("raw_category"), vocab.CATEGORY_NAMES).alias("category"),
             "month",
-            "monthly_revenue",
+            C.amount(F.col("revenue")).alias("monthly_revenue"),
             "purchase_count",
         )
         .orderBy("month", F.desc("monthly_revenue"), "category")

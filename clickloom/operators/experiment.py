@@ -32,11 +32,11 @@ def period_funnel(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
         assign_period(ev, spec)
         .groupBy("period", "user_session")
         .agg(
-            C.count_type(vocab.VIEW).alias("views"),
-            C.count_type(vocab.CART).alias("carts"),
-            C.count_type(vocab.PURCHASE).alias("purchases"),
-            F.sum(C.units(_revenue())).alias("revenue"),
-            F.count(_revenue()).alias("priced"),
+            C.n_type(ev, vocab.VIEW).alias("views"),
+            C.n_type(ev, vocab.CART).alias("carts"),
+            C.n_type(ev, vocab.PURCHASE).alias("purchases"),
+            C.revenue(ev).alias("revenue"),
+            C.n_priced(ev).alias("priced"),
         )
     )
     views, carts, purchases = F.col("total_views"), F.col("total_carts"), F.col("total_purchases")
@@ -47,8 +47,8 @@ def period_funnel(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
             F.sum("views").alias("total_views"),
             F.sum("carts").alias("total_carts"),
             F.sum("purchases").alias("total_purchases"),
-            C.from_units(F.sum("revenue")).alias("total_revenue"),
-            C.mean_of_units(F.sum("revenue"), F.sum("priced")).alias("avg_order_value"),
+            C.amount(F.sum("revenue")).alias("total_revenue"),
+            C.ratio(F.sum("revenue"), F.sum("priced"), 2).alias("avg_order_value"),
             F.count("user_session").alias("total_sessions"),
             F.count_if(named_buyer).alias("purchase_sessions"),
         )
@@ -74,8 +74,8 @@ def weekly_trend(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     """Weekly conversion; a week cut by a period boundary has one row per period."""
     sessions = (
         ev.where(spec.kept(C.day(ev)))
-        .groupBy(C.week_start().alias("week_start"), spec.label(C.day(ev), True).alias("period"), "user_session")
-        .agg(C.count_type(vocab.VIEW).alias("views"), C.count_type(vocab.PURCHASE).alias("purchases"))
+        .groupBy(C.week(ev).alias("week_start"), spec.label(C.day(ev), True).alias("period"), "user_session")
+        .agg(C.n_type(ev, vocab.VIEW).alias("views"), C.n_type(ev, vocab.PURCHASE).alias("purchases"))
     )
     named_buyer = (F.col("purchases") > 0) & F.col("user_session").isNotNull()
     out = sessions.groupBy("week_start", "period").agg(
@@ -94,9 +94,9 @@ def weekly_trend(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
 def category_mix(ev: DataFrame, spec: PeriodSpec = periods.CATEGORY_PERIODS) -> DataFrame:
     """Share of revenue per category code and period. The share's window runs over one row per category."""
     revenue = (
-        assign_period(ev.where(C.is_priced_purchase()), spec)
-        .groupBy("period", C.top_category().alias("raw_category"))
-        .agg(F.round(F.sum("price"), 2).alias("category_revenue"), F.count("*").alias("purchase_count"))
+        assign_period(ev.where(C.holds_priced(ev)), spec)
+        .groupBy("period", C.category(ev).alias("raw_category"))
+        .agg(C.amount(C.revenue(ev)).alias("category_revenue"), C.n_priced(ev).alias("purchase_count"))
     )
     total = F.sum("category_revenue").over(W.partitionBy("period"))
     return revenue.withColumn("revenue_share_pct", C.pct(F.col("category_revenue"), total))
@@ -125,7 +125,7 @@ def period_session_behavior(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFr
         .agg(
             F.count("*").alias("events"),
             C.has_type(vocab.PURCHASE).alias("bought"),
-            F.sum(_revenue()).alias("revenue"),
+            F.sum(C.money(_revenue())).alias("revenue"),
         )
     )
     sessions = cells.groupBy("period", "user_session").agg(
@@ -155,9 +155,9 @@ def new_vs_returning(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
     holds no more rows than the data has days.
     """
     days = (
-        ev.where(C.is_type(vocab.PURCHASE))
+        ev.where(C.holds_type(ev, vocab.PURCHASE))
         .groupBy("user_id", C.day(ev).alias("event_date"))
-        .agg(F.count(_revenue()).alias("purchases"), F.sum(C.units(_revenue())).alias("revenue"))
+        .agg(C.n_priced(ev).alias("purchases"), C.revenue(ev).alias("revenue"))
     )
     first = F.min("event_date").over(W.partitionBy("user_id"))
     typed = days.withColumn(
@@ -171,8 +171,8 @@ def new_vs_returning(ev: DataFrame, spec: PeriodSpec = DEFAULT) -> DataFrame:
         .agg(
             F.count("*").alias("unique_buyers"),
             F.sum("purchases").alias("total_purchases"),
-            C.from_units(F.sum("revenue")).alias("total_revenue"),
-            C.mean_of_units(F.sum("revenue"), F.sum("purchases")).alias("avg_order_value"),
+            C.amount(F.sum("revenue")).alias("total_revenue"),
+            C.ratio(F.sum("revenue"), F.sum("purchases"), 2).alias("avg_order_value"),
         )
         .orderBy(F.desc("period"), "buyer_type")
     )

@@ -2,7 +2,8 @@
 
 Each funnel reduces events to one row of stage flags per (group, session) and
 then adds the flags up. Compared with several COUNT(DISTINCT ...) this needs no
-row expansion, and events of a large group are reduced before they move.
+row expansion, and events of a large group are reduced before they move. All
+take events or a partial aggregate (``partials``) with the keys they group by.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ def session_flags(ev: DataFrame, by: dict[str, Column] | None = None) -> DataFra
         ev.where(F.col("user_session").isNotNull())
         .groupBy(*keys, "user_session")
         .agg(
-            C.has_type(vocab.VIEW).alias("viewed"),
-            C.has_type(vocab.CART).alias("carted"),
-            C.has_type(vocab.PURCHASE).alias("purchased"),
+            C.has(ev, vocab.VIEW).alias("viewed"),
+            C.has(ev, vocab.CART).alias("carted"),
+            C.has(ev, vocab.PURCHASE).alias("purchased"),
         )
     )
 
@@ -59,7 +60,7 @@ def _funnel_by(ev: DataFrame, name: str, column: Column, min_views: int) -> Data
 
 
 def funnel_by_category(ev: DataFrame, min_views: int = 1000, n: int = 20) -> DataFrame:
-    out = _funnel_by(ev, "top_category", C.top_category(), min_views)
+    out = _funnel_by(ev, "top_category", C.category(ev), min_views)
     return out.orderBy(F.desc("overall_conversion_pct"), "top_category").limit(n)
 
 

@@ -18,12 +18,12 @@ REFERENCE_DATE = date(2020, 5, 1)
 def rfm_raw(ev: DataFrame, reference_date: date = REFERENCE_DATE) -> DataFrame:
     """Per buyer: days since the last purchase, number of purchases, total spent."""
     return (
-        ev.where(C.is_priced_purchase())
+        ev.where(C.holds_priced(ev))
         .groupBy("user_id")
         .agg(
-            F.date_diff(F.lit(reference_date), F.max(C.event_date())).alias("recency_days"),
-            F.count("*").alias("frequency"),
-            F.sum("price").alias("monetary"),
+            F.date_diff(F.lit(reference_date), F.max(C.day(ev))).alias("recency_days"),
+            C.n_priced(ev).alias("frequency"),
+            C.amount(C.revenue(ev), None).alias("monetary"),
         )
     )
 

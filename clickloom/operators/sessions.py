@@ -42,32 +42,51 @@ def session_stats(ev: DataFrame) -> DataFrame:
     return (
         ev.groupBy("user_session")
         .agg(
-            F.count("*").alias("total_events"),
-            C.count_type(vocab.VIEW).alias("views"),
-            C.count_type(vocab.CART).alias("carts"),
-            C.count_type(vocab.PURCHASE).alias("purchases"),
-            F.min("event_time").alias("session_start"),
-            F.max("event_time").alias("session_end"),
+            C.n_events(ev).alias("total_events"),
+            C.n_type(ev, vocab.VIEW).alias("views"),
+            C.n_type(ev, vocab.CART).alias("carts"),
+            C.n_type(ev, vocab.PURCHASE).alias("purchases"),
+            C.first_time(ev).alias("session_start"),
+            C.last_time(ev).alias("session_end"),
         )
         .withColumn("session_duration_seconds", C.seconds_between(F.col("session_start"), F.col("session_end")))
         .withColumn("converted", F.when(F.col("purchases") > 0, 1).otherwise(0))
     )
 
 
-def session_summary(ev: DataFrame) -> DataFrame:
-    """One row over all sessions, with exact quantiles. Runs Spark jobs when called: sessions are written in short."""
-    stats = written(
-        session_stats(ev).select(F.lit(1).alias("_all"), "total_events", "session_duration_seconds", "converted"), "sessions"
+SECONDS = "session_duration_seconds"
+
+
+def _cells(ev: DataFrame) -> DataFrame:
+    """Sessions counted by conversion, events and seconds: all that means and quantiles need. Written, and never wider than
+    the sessions are different."""
+    cells = session_stats(ev).groupBy("converted", "total_events", SECONDS).agg(
+        F.count("*").alias("n"), F.sum("views").alias("views"), F.sum("carts").alias("carts")
     )
-    seconds = "session_duration_seconds"
-    events_q = quantiles(value_counts(stats, ["_all"], "total_events"), ["_all"], "total_events", [0.5, 0.9, 0.95])
-    seconds_q = quantiles(value_counts(stats, ["_all"], seconds), ["_all"], seconds, [0.5])
-    out = stats.groupBy("_all").agg(
-        F.count("*").alias("total_sessions"),
-        F.round(F.avg("total_events"), 2).alias("avg_events_per_session"),
-        F.round(F.avg(seconds), 0).alias("avg_duration_seconds"),
-        F.count_if(F.col("converted") == 1).alias("purchasing_sessions"),
-        F.count_if(F.col("converted") == 0).alias("non_purchasing_sessions"),
+    return written(cells, "session-cells")
+
+
+def _counts(cells: DataFrame, by: list[str], value: str) -> DataFrame:
+    return cells.groupBy(*by, value).agg(F.sum("n").alias("n"))
+
+
+def _mean(value: str):
+    return C.ratio(F.sum(F.col(value) * F.col("n")), F.sum("n"))
+
+
+def session_summary(ev: DataFrame) -> DataFrame:
+    """One row over all sessions, with exact quantiles. Runs a Spark job when called: counts of sessions are written."""
+    cells = _cells(ev).withColumn("_all", F.lit(1))
+    events_q = quantiles(_counts(cells, ["_all"], "total_events"), ["_all"], "total_events", [0.5, 0.9, 0.95])
+    seconds_q = quantiles(_counts(cells, ["_all"], SECONDS), ["_all"], SECONDS, [0.5])
+    n = F.sum("n")
+    buyers = F.coalesce(F.sum(F.when(F.col("converted") == 1, F.col("n"))), F.lit(0).cast("long"))
+    out = cells.groupBy("_all").agg(
+        n.alias("total_sessions"),
+        F.round(_mean("total_events"), 2).alias("avg_events_per_session"),
+        F.round(_mean(SECONDS), 0).alias("avg_duration_seconds"),
+        buyers.alias("purchasing_sessions"),
+        (n - buyers).alias("non_purchasing_sessions"),
     )
     out = out.join(events_q.withColumnRenamed("q", "_events"), "_all").join(seconds_q.withColumnRenamed("q", "_seconds"), "_all")
     return out.select(
@@ -97,7 +116,7 @@ def depth_bucket(events: str = "total_events"):
 
 def session_depth_buckets(ev: DataFrame) -> DataFrame:
     stats = ev.groupBy("user_session").agg(
-        F.count("*").alias("total_events"), C.has_type(vocab.PURCHASE).alias("converted")
+        C.n_events(ev).alias("total_events"), C.has(ev, vocab.PURCHASE).alias("converted")
     )
     out = stats.groupBy(depth_bucket().alias("event_bucket")).agg(
         F.count("*").alias("total_sessions"),
@@ -159,25 +178,24 @@ def depth_at_purchase(ev: DataFrame) -> DataFrame:
 
 
 def session_profile(ev: DataFrame) -> DataFrame:
-    """Converting against other sessions. Runs Spark jobs when called: sessions are written in short."""
-    seconds = "session_duration_seconds"
-    stats = written(session_stats(ev).select("converted", "total_events", "views", "carts", seconds), "sessions")
-    events_q = quantiles(value_counts(stats, ["converted"], "total_events"), ["converted"], "total_events", [0.5])
-    seconds_q = quantiles(value_counts(stats, ["converted"], seconds), ["converted"], seconds, [0.5])
+    """Converting against other sessions. Runs a Spark job when called: counts of sessions are written."""
+    cells = _cells(ev)
+    events_q = quantiles(_counts(cells, ["converted"], "total_events"), ["converted"], "total_events", [0.5])
+    seconds_q = quantiles(_counts(cells, ["converted"], SECONDS), ["converted"], SECONDS, [0.5])
     return (
-        stats.groupBy("converted")
+        cells.groupBy("converted")
         .agg(
-            F.count("*").alias("session_count"),
-            F.round(F.avg("total_events"), 2).alias("avg_total_events"),
-            F.round(F.avg("views"), 2).alias("avg_views"),
-            F.round(F.avg("carts"), 2).alias("avg_carts"),
-            F.round(F.avg(seconds) / 60.0, 2).alias("avg_duration_minutes"),
+            F.sum("n").alias("session_count"),
+            F.round(_mean("total_events"), 2).alias("avg_total_events"),
+            C.ratio(F.sum("views"), F.sum("n"), 2).alias("avg_views"),
+            C.ratio(F.sum("carts"), F.sum("n"), 2).alias("avg_carts"),
+            F.round(_mean(SECONDS) / 60.0, 2).alias("avg_duration_minutes"),
         )
         .join(events_q.select("converted", F.col("q")[0].alias("median_total_events")), "converted")
         .join(seconds_q.select("converted", F.round(F.col("q")[0] / 60.0, 2).alias("median_duration_minutes")), "converted")
         .orderBy(F.desc("converted"))
         .select(
-        F.when(F.col("converted") == 1, "Converting").otherwise("Non-Converting").alias("session_type"),
+            F.when(F.col("converted") == 1, "Converting").otherwise("Non-Converting").alias("session_type"),
             "session_count",
             "avg_total_events",
             "median_total_events",

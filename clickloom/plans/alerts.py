@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
-from clickloom.operators import anomaly, cohort, funnel
+from clickloom.operators import anomaly, cohort, funnel, partials
+from clickloom.sources.stable import written
 
 
 @dataclass(frozen=True)
@@ -28,9 +29,9 @@ class AlertSpec:
 
 def daily_revenue_zscore(ev: DataFrame, days: int = 7, sigmas: float = 2.0) -> DataFrame:
     """Daily revenue against the days before it; mean and deviation, shown in cents, are not rounded for the score."""
-    daily = ev.where(C.is_priced_purchase()).groupBy(C.day(ev).alias("event_date"))
+    daily = ev.where(C.holds_priced(ev)).groupBy(C.day(ev).alias("event_date"))
     scored = anomaly.daily_zscore(
-        daily.agg(F.round(F.sum("price"), 2).alias("revenue")), "revenue", days, sigmas, digits=None
+        daily.agg(C.amount(C.revenue(ev)).alias("revenue")), "revenue", days, sigmas, digits=None
     )
     return scored.withColumns({c: F.round(c, 2) for c in (f"rolling_{days}d_avg", f"rolling_{days}d_stddev")})
 
@@ -42,17 +43,17 @@ def weekly_top_category_conversion(ev: DataFrame) -> DataFrame:
 
 def _weekly_conversion(ev: DataFrame) -> DataFrame:
     """With ``_complete``: the events reach the last day of the week."""
-    weekly = ev.groupBy(C.top_category().alias("top_category"), C.week_start().alias("week_start")).agg(
-        C.count_type(vocab.VIEW).alias("views"),
-        C.count_type(vocab.PURCHASE).alias("purchases"),
-        F.sum(F.when(C.is_priced_purchase(), F.col("price")).otherwise(F.lit(0.0))).alias("revenue"),
+    weekly = ev.groupBy(C.category(ev).alias("top_category"), C.week(ev).alias("week_start")).agg(
+        C.n_type(ev, vocab.VIEW).alias("views"),
+        C.n_type(ev, vocab.PURCHASE).alias("purchases"),
+        C.revenue(ev).alias("revenue"),
         F.max(C.day(ev)).alias("_last"),
     )
     last_day = F.max("_last").over(W.partitionBy())  # one row per category and week
     weekly = weekly.withColumn("_complete", F.date_add("week_start", 6) <= last_day)
     leader = (
         weekly.groupBy("top_category")
-        .agg(F.round(F.sum("revenue"), 2).alias("total"))
+        .agg(F.coalesce(F.sum("revenue"), F.lit(0)).alias("total"))
         .orderBy(F.desc("total"), "top_category")
         .limit(1)
         .select("top_category")
@@ -96,14 +97,22 @@ def latest_month1_retention(ev: DataFrame) -> DataFrame:
     ).select("latest_pct", F.get("_rates", (F.ceil(F.size("_rates") * 0.25) - 1).cast("int")).alias("p25_pct"))
 
 
-def kpi_alerts(ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame | None = None) -> DataFrame:
-    """One row per rule: current value, limit, and whether it fires."""
-    conversion = funnel.funnel_overall(ev)
-    abandonment = funnel.cart_abandonment(ev)
-    revenue = _latest(daily_revenue_zscore(ev, sigmas=spec.revenue_sigmas), "event_date")
-    weekly = _latest(_weekly_conversion(ev).where("_complete"), "week_start")
+def kpi_alerts(
+    ev: DataFrame, spec: AlertSpec = AlertSpec(), history: DataFrame | None = None, visits: DataFrame | None = None,
+) -> DataFrame:
+    """One row per rule: current value, limit, and whether it fires.
+
+    ``visits``: the partial aggregate of the events, if it is there already. Else it is made and written, so that events are
+    read for it, for single prices and (without ``history``) for cohorts. Runs Spark jobs when called.
+    """
+    visits = written(partials.visits(ev), "visits") if visits is None else visits
+    by_session = written(partials.session_partials(visits), "session-partials")
+    conversion = funnel.funnel_overall(by_session)
+    abandonment = funnel.cart_abandonment(by_session)
+    revenue = _latest(daily_revenue_zscore(visits, sigmas=spec.revenue_sigmas), "event_date")
+    weekly = _latest(_weekly_conversion(visits).where("_complete"), "week_start")
     outliers = anomaly.price_outlier_summary(ev).agg(F.sum("outlier_count").alias("n"))
-    bots = anomaly.high_frequency_sessions(ev, spec.bot_events).agg(F.count("*").alias("n"))
+    bots = anomaly.busy_sessions(visits, spec.bot_events).agg(F.count("*").alias("n"))
     retention = latest_month1_retention(ev if history is None else history)
 
     def lit(value: float) -> Column:

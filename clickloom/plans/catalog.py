@@ -9,14 +9,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions import columns as C
 from clickloom.functions import periods
 from clickloom.functions.periods import PeriodSpec
-from clickloom.operators import anomaly, category, cohort, experiment, funnel, propensity, rfm, sessions
+from clickloom.operators import anomaly, category, cohort, experiment, funnel, partials, propensity, rfm, sessions
 from clickloom.plans import alerts, mart, measures
 from clickloom.plans.mart import MartSpec
 from clickloom.sources import events as tables
 from clickloom.sources import fixture
-from clickloom.sources.stable import scratch_path, stored_once
+from clickloom.sources.stable import scratch_path, stored_once, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -260,7 +261,7 @@ def events_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     tables.write_events_csv(fixture.full_events(spark, folder), path)
     ev = tables.read_events_csv(spark, path)
     return ev.groupBy(F.to_date("event_time").alias("event_date"), "event_type").agg(
-        F.count("*").alias("events"), F.round(F.sum("price"), 2).alias("price_sum"),
+        F.count("*").alias("events"), C.total(F.col("price"), 2).alias("price_sum"),
         F.count("brand").alias("branded"), F.count("category_code").alias("categorised"),
     )
 
@@ -319,9 +320,15 @@ def _rfm_segment(spark: SparkSession, folder: str) -> DataFrame:
     return mart.fact_rfm_segment(_segments(spark, folder))
 
 
+def _visits(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored partial aggregate that mart, insights and alerts are finished from."""
+    return stored_once(
+        spark, fixture.event_files(folder), "visits", lambda: partials.visits(fixture.stored_events(spark, folder)))
+
+
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
     ev = fixture.stored_events(spark, folder)
-    return mart.fact_anomaly_findings(ev, mart.fact_price_outliers(ev, MART), MART)
+    return mart.fact_anomaly_findings(_visits(spark, folder), mart.fact_price_outliers(ev, MART), MART)
 
 
 _register(_segments, mart_rfm_segment=mart.fact_rfm_segment,
@@ -367,7 +374,7 @@ def mart_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Build and store the whole mart, and count the rows of each stored table."""
     path = scratch_path(spark, "mart")
     ev = fixture.stored_events(spark, folder)
-    stored = mart.build_mart(ev, path, MART, history=fixture.order_events(spark, folder))
+    stored = mart.build_mart(ev, path, MART, fixture.order_events(spark, folder), _visits(spark, folder))
     out = None
     for name, table in stored.items():
         row = table.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count"))
@@ -471,19 +478,20 @@ def measure_category_bar_color(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def measure_insights(spark: SparkSession, folder: str) -> DataFrame:
-    ev = fixture.stored_events(spark, folder)
+    ev, visits = fixture.stored_events(spark, folder), _visits(spark, folder)
+    by_session = written(partials.session_partials(visits), "session-partials")
     return measures.insights(
-        measures.overview_kpis(ev),
+        measures.overview_kpis(visits),
         {
-            "DimCategory": mart.dim_category(ev),
+            "DimCategory": mart.dim_category(visits),
             "FactRetentionCurve": _curve(spark, folder),
-            "FactSessionDepth": mart.fact_session_depth(ev),
-            "FactFunnelByCategory": mart.fact_funnel_by_category(ev, MART),
-            "FactCategoryPerformance": mart.fact_category_performance(ev, MART),
-            "FactTopBrands": mart.fact_top_brands(ev, MART),
-            "FactRFMSegment": _rfm_segment(spark, folder),
-            "FactConvertingVsNon": mart.fact_converting_vs_non(ev, MART),
-            "FactCovidComparison": mart.fact_covid_comparison(ev, MART),
+            "FactSessionDepth": mart.fact_session_depth(by_session),
+            "FactFunnelByCategory": mart.fact_funnel_by_category(visits, MART),
+            "FactCategoryPerformance": mart.fact_category_performance(visits, MART),
+            "FactTopBrands": mart.fact_top_brands(visits, MART),
+            "FactRFMSegment": mart.fact_rfm_segment(mart.segments_table(visits, MART)),
+            "FactConvertingVsNon": mart.fact_converting_vs_non(by_session, MART),
+            "FactCovidComparison": mart.fact_covid_comparison(ev, MART, visits),
         },
     )
 
@@ -491,7 +499,7 @@ def measure_insights(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def kpi_alerts(spark: SparkSession, folder: str) -> DataFrame:
     ev = fixture.stored_events(spark, folder)
-    return rounded(alerts.kpi_alerts(ev, ALERTS, history=fixture.order_events(spark, folder)))
+    return rounded(alerts.kpi_alerts(ev, ALERTS, fixture.order_events(spark, folder), _visits(spark, folder)))
 
 
 _register(

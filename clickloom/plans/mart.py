@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import columns as C
 from clickloom.functions import periods, vocab
 from clickloom.functions.periods import PeriodSpec
-from clickloom.operators import anomaly, category, cohort, experiment, funnel, rfm, sessions
+from clickloom.operators import anomaly, category, cohort, experiment, funnel, partials, rfm, sessions
 from clickloom.sources.stable import written
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ def _offset_label(offset):
 def dim_category(ev: DataFrame) -> DataFrame:
     code = F.col("CategoryCode")
     return (
-        ev.select(C.top_category().alias("CategoryCode"))
+        ev.select(C.category(ev).alias("CategoryCode"))
         .distinct()
         .select(
             "CategoryCode",
@@ -216,7 +218,7 @@ def fact_price_outliers(ev: DataFrame, spec: MartSpec) -> DataFrame:
 
 
 def fact_anomaly_findings(ev: DataFrame, price_outliers: DataFrame, spec: MartSpec) -> DataFrame:
-    """One computed sentence per kind of anomaly."""
+    """One computed sentence per kind of anomaly. ``ev``: events or ``visits``."""
     top = F.max("MaxPrice").over(W.partitionBy())  # one row per category
     cap = (
         price_outliers.withColumn("_cap", top)
@@ -231,7 +233,7 @@ def fact_anomaly_findings(ev: DataFrame, price_outliers: DataFrame, spec: MartSp
         )
     )
     bots = (
-        anomaly.high_frequency_sessions(ev, spec.bot_events)
+        anomaly.busy_sessions(ev, spec.bot_events)
         .agg(F.count("*").alias("n"), F.count_if(F.col("purchases") == 0).alias("idle"))
         .select(
             F.lit("Bot detection").alias("Finding"),
@@ -272,10 +274,10 @@ def fact_anomaly_findings(ev: DataFrame, price_outliers: DataFrame, spec: MartSp
     return cap.union(bots).union(gap).union(shift)
 
 
-def fact_covid_comparison(ev: DataFrame, spec: MartSpec) -> DataFrame:
-    """Five metrics of the two periods side by side."""
+def fact_covid_comparison(ev: DataFrame, spec: MartSpec, visits: DataFrame | None = None) -> DataFrame:
+    """Five metrics of the two periods side by side. The funnel can be read from ``visits``, products only from events."""
     periods_ = spec.experiment_periods
-    joined = experiment.period_funnel(ev, periods_).select(
+    joined = experiment.period_funnel(ev if visits is None else visits, periods_).select(
         "period", "session_conversion_pct", "avg_order_value"
     ).join(
         experiment.period_session_behavior(ev, periods_).select(
@@ -330,50 +332,64 @@ def segments_table(purchases: DataFrame, spec: MartSpec) -> DataFrame:
     return rfm.rfm_segments(purchases, spec.reference_date)
 
 
-def mart_tables(ev: DataFrame, spec: MartSpec = MartSpec(), history: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All 19 tables. ``history`` may hold a longer purchase record for the cohort tables."""
-    segments = written(segments_table(ev, spec), "segments")
+def mart_tables(
+    ev: DataFrame, spec: MartSpec = MartSpec(), history: DataFrame | None = None, visits: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All 19 tables. ``history`` may hold a longer purchase record for the cohort tables.
+
+    ``visits``: the partial aggregate of the events (``partials.visits``), if it is there already; else it is made and
+    written. Events themselves are read for it, for single prices, for products viewed per period and, without
+    ``history``, for cohorts. Runs Spark jobs when called.
+    """
+    visits = written(partials.visits(ev), "visits") if visits is None else visits
+    by_session = written(partials.session_partials(visits), "session-partials")
+    segments = written(segments_table(visits, spec), "segments")
     retention = written(cohort.cohort_retention(ev if history is None else history), "retention")
     curve = cohort.curve_of(retention)
     rfm_segment = fact_rfm_segment(segments)
-    top_brands = fact_top_brands(ev, spec)
-    brand_funnel = fact_funnel_by_brand(ev, spec)
+    top_brands = written(fact_top_brands(visits, spec), "top-brands")
+    brand_funnel = written(fact_funnel_by_brand(visits, spec), "brand-funnel")
     outliers = written(fact_price_outliers(ev, spec), "price-outliers")
     return {
-        "DimCategory": dim_category(ev),
+        "DimCategory": dim_category(visits),
         "DimSegment": dim_segment(rfm_segment),
         "DimBrand": dim_brand(top_brands, brand_funnel),
         "DimMonthsSinceFirst": dim_months_since_first(curve, spec),
         "DimCohortMonth": dim_cohort_month(retention),
-        "FactFunnelByCategory": fact_funnel_by_category(ev, spec),
+        "FactFunnelByCategory": fact_funnel_by_category(visits, spec),
         "FactFunnelByBrand": brand_funnel,
-        "FactSessionDepth": fact_session_depth(ev),
-        "FactConvertingVsNon": fact_converting_vs_non(ev, spec),
+        "FactSessionDepth": fact_session_depth(by_session),
+        "FactConvertingVsNon": fact_converting_vs_non(by_session, spec),
         "FactRFMSegment": rfm_segment,
         "FactRFMMonetaryDist": fact_rfm_monetary_dist(segments, spec),
         "FactCohortRetention": fact_cohort_retention(retention, spec),
         "FactRetentionCurve": fact_retention_curve(curve, spec),
-        "FactCategoryPerformance": fact_category_performance(ev, spec),
+        "FactCategoryPerformance": fact_category_performance(visits, spec),
         "FactTopBrands": top_brands,
         "FactPriceOutliers": outliers,
-        "FactAnomalyFindings": fact_anomaly_findings(ev, outliers, spec),
-        "FactCovidComparison": fact_covid_comparison(ev, spec),
-        "FactCategoryMixShift": fact_category_mix_shift(ev, spec),
+        "FactAnomalyFindings": fact_anomaly_findings(visits, outliers, spec),
+        "FactCovidComparison": fact_covid_comparison(ev, spec, visits),
+        "FactCategoryMixShift": fact_category_mix_shift(visits, spec),
     }
 
 
+# So many tables are written at once: most are a few rows, and jobs of one task leave the other cores idle.
+WRITERS = 6
+
+
 def build_mart(
-    ev: DataFrame, folder: str, spec: MartSpec = MartSpec(), history: DataFrame | None = None
+    ev: DataFrame, folder: str, spec: MartSpec = MartSpec(), history: DataFrame | None = None, visits: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Write every mart table as parquet below ``folder`` and return the stored tables.
+    """Write every mart table as parquet below ``folder`` and return the stored tables."""
+    spark = ev.sparkSession
 
-    ``ev`` should be a stored table: each fact reads it again with its own columns.
-    """
-    stored = {}
-    for name, table in mart_tables(ev, spec, history).items():
-        table.hint("rebalance").write.mode("overwrite").parquet(f"{folder}/{name}")  # small tables: one file each
-        stored[name] = ev.sparkSession.read.parquet(f"{folder}/{name}")
-    return stored
+    def store(table: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
+        name, df = table
+        df.hint("rebalance").write.mode("overwrite").parquet(f"{folder}/{name}")  # small tables: one file each
+        return name, spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(store), mart_tables(ev, spec, history, visits).items()))
 
 
 def read_mart(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:

@@ -115,9 +115,9 @@ def overview_kpis(ev: DataFrame) -> DataFrame:
     the same shape, not by a join.
     """
     per_session = ev.groupBy("user_session").agg(
-        F.count("*").alias("events"),
-        F.sum(F.when(C.is_priced_purchase(), F.col("price"))).alias("revenue"),
-        *[C.has_type(t).alias(t) for t in vocab.EVENT_TYPES],
+        C.n_events(ev).alias("events"),
+        C.revenue(ev).alias("revenue"),
+        *[C.has(ev, t).alias(t) for t in vocab.EVENT_TYPES],
     )
     named = F.col("user_session").isNotNull()
 
@@ -127,14 +127,14 @@ def overview_kpis(ev: DataFrame) -> DataFrame:
     carted, bought = F.col(vocab.CART) == 1, F.col(vocab.PURCHASE) == 1
     main = per_session.agg(
         F.sum("events").alias("total_events"),
-        F.sum("revenue").alias("total_revenue"),
+        C.amount(F.sum("revenue"), None).alias("total_revenue"),
         sessions_where(F.col(vocab.VIEW) == 1).alias("view_sessions"),
         sessions_where(carted).alias("cart_sessions"),
         sessions_where(bought).alias("purchase_sessions"),
         sessions_where(carted & ~bought).alias("abandoned_sessions"),
     )
     buyers = (
-        ev.where(C.is_type(vocab.PURCHASE))
+        ev.where(C.holds_type(ev, vocab.PURCHASE))
         .select("user_id")
         .distinct()
         .agg(F.count("user_id").alias("purchasing_users"))

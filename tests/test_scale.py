@@ -80,7 +80,7 @@ def test_history_equals_brute_force(skewed):
         t, i, _, user = group[0]
         if len(group) <= 3 or spec.pre_end < t.date() < spec.onset_start:
             continue
-        before = [(bt, bi) for bt, bi, k, u, _ in kept if u == user and k == "purchase" and (bt, bi) < (t, i)]
+        before = [(bt, bi) for bt, bi, k, u, _ in kept if u == user and k == "purchase" and bt < t]
         days = (t.date() - max(before)[0].date()).days if before else None
         want[session] = (len(before), days, any(k == "purchase" for _, _, k, _ in group[3:]))
     got = propensity.propensity_features(ev, 3, spec).select(
