@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
 from clickloom.functions.periods import PeriodSpec
+from clickloom.functions.ranges import RANGE_ROWS, in_ranges
 from clickloom.operators.ranking import Score, add_ntiles
 from clickloom.operators.sessions import SLICE_SECONDS
 from clickloom.sources.stable import written
@@ -200,19 +201,20 @@ def score_sessions(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
-def roc_area(scored: DataFrame) -> DataFrame:
+def roc_area(scored: DataFrame, bound: int = RANGE_ROWS) -> DataFrame:
     """One row: the exact area under the ROC curve (share of pairs in the right order, ties half); NULL for one class.
 
-    Labels are counted per score. Scores fall into 4096 equal ranges; sums of ranges and running sums inside a range
-    give the negatives below each score, so no task sees all scores.
+    Labels are counted per score. The negatives below each score are a running sum, over ranges of scores of ``bound``
+    different ones at most, however the scores are distributed. Runs Spark jobs when called.
     """
     by_score = scored.groupBy("purchase_prob").agg(F.sum(LABEL).alias("pos"), F.sum(1 - F.col(LABEL)).alias("neg"))
-    by_score = by_score.withColumn("_range", F.floor(F.col("purchase_prob") * 4096))
-    ranges = by_score.groupBy("_range").agg(F.sum("neg").alias("_neg"))
+    by_score = written(by_score, "score-counts")
+    cut = in_ranges(by_score, ["purchase_prob"], by_score.count(), bound)
+    ranges = cut.groupBy("_range").agg(F.sum("neg").alias("_neg"))
     below = ranges.select("_range", (F.sum("_neg").over(W.orderBy("_range")) - F.col("_neg")).alias("_below"))
     inside = W.partitionBy("_range").orderBy("purchase_prob")
     rank = F.col("_below") + F.sum("neg").over(inside) - F.col("neg") / 2
-    won = by_score.join(below, "_range").withColumn("_won", F.col("pos") * rank)
+    won = cut.join(below, "_range").withColumn("_won", F.col("pos") * rank)
     return won.agg(C.ratio(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("area"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import columns as C
 from clickloom.functions import vocab
 from clickloom.functions.quantiles import quantiles, value_counts
+from clickloom.functions.ranges import RANGE_ROWS, positions
 from clickloom.sources.stable import written
 
 # Width of the time slices that spread the events of one busy session or user over many tasks.
@@ -63,7 +64,7 @@ def _cells(ev: DataFrame) -> DataFrame:
     cells = session_stats(ev).groupBy("converted", "total_events", SECONDS).agg(
         F.count("*").alias("n"), F.sum("views").alias("views"), F.sum("carts").alias("carts")
     )
-    return written(cells, "session-cells")
+    return written(cells.withColumn("_all", F.lit(1)), "session-cells")
 
 
 def _counts(cells: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -76,9 +77,10 @@ def _mean(value: str):
 
 def session_summary(ev: DataFrame) -> DataFrame:
     """One row over all sessions, with exact quantiles. Runs a Spark job when called: counts of sessions are written."""
-    cells = _cells(ev).withColumn("_all", F.lit(1))
-    events_q = quantiles(_counts(cells, ["_all"], "total_events"), ["_all"], "total_events", [0.5, 0.9, 0.95])
-    seconds_q = quantiles(_counts(cells, ["_all"], SECONDS), ["_all"], SECONDS, [0.5])
+    cells = _cells(ev)
+    rows = cells.count()
+    events_q = quantiles(_counts(cells, ["_all"], "total_events"), ["_all"], "total_events", [0.5, 0.9, 0.95], rows)
+    seconds_q = quantiles(_counts(cells, ["_all"], SECONDS), ["_all"], SECONDS, [0.5], rows)
     n = F.sum("n")
     buyers = F.coalesce(F.sum(F.when(F.col("converted") == 1, F.col("n"))), F.lit(0).cast("long"))
     out = cells.groupBy("_all").agg(
@@ -128,14 +130,14 @@ def session_depth_buckets(ev: DataFrame) -> DataFrame:
     ).orderBy("event_bucket")
 
 
-def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_events: int = RANGE_ROWS) -> DataFrame:
     """Position of every purchase among the events of its session.
 
-    The position is the number of events in earlier time slices of the session
-    (a window over one row per slice) plus the position inside the slice. Only
-    events of sessions with a purchase are looked at, only slices that hold one
-    are sorted, and a session with a third of all events is spread over as many
-    groups as it has slices.
+    The position is the number of events in earlier time slices of the session (a window over one row per slice) plus the
+    position inside the slice. Only events of sessions with a purchase are looked at, only slices that hold one are sorted,
+    and a session with a third of all events is spread over as many groups as it has slices. A slice of more than
+    ``slice_events`` events, up to a session that has all of them in one second, is cut further by time and id
+    (``ranges.positions``). Runs Spark jobs when called: the slices are counted and written.
     """
     shown = C.tie_columns(ev)
     named = ev.where(F.col("user_session").isNotNull())
@@ -145,19 +147,20 @@ def purchase_ranks(ev: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFra
         F.count("*").alias("_events"), C.has_type(vocab.PURCHASE).alias("_buys")
     )
     earlier = W.partitionBy("user_session").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        slices.withColumn("_before", F.coalesce(F.sum("_events").over(earlier), F.lit(0)))
-        .where(F.col("_buys") == 1)
-        .select("user_session", "_slice", "_before")
-    )
-    inside = W.partitionBy("user_session", "_slice").orderBy(*C.tie_order(ev))
-    return (
-        named.select("user_session", "_slice", *dict.fromkeys(["event_type", *shown]))
-        .join(carried, ["user_session", "_slice"])
-        .withColumn("event_rank", F.col("_before") + F.row_number().over(inside))
-        .where(C.is_type(vocab.PURCHASE))
-        .select("user_session", *shown, "event_rank")
-    )
+    carried = written(
+        slices.withColumn("_before", F.coalesce(F.sum("_events").over(earlier), F.lit(0))).where(F.col("_buys") == 1), "slices")
+    is_large = F.col("_events") > slice_events
+    large = carried.where(is_large).agg(F.coalesce(F.sum("_events"), F.lit(0))).first()[0]
+    keys = ["user_session", "_slice"]
+    columns = named.select(*keys, *dict.fromkeys(["event_type", *shown]))
+    small = columns.join(carried.where(~is_large).select(*keys, "_before"), keys)
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*C.tie_order(ev)))
+    ranked = small.withColumn("event_rank", F.col("_before") + inside)
+    if large:
+        crowded = columns.join(carried.where(is_large).select(*keys, "_before"), keys)
+        crowded = positions(crowded, keys, C.tie_order(ev), large, slice_events)
+        ranked = ranked.unionByName(crowded.withColumn("event_rank", F.col("_before") + F.col("_position")).drop("_position"))
+    return ranked.where(C.is_type(vocab.PURCHASE)).select("user_session", *shown, "event_rank")
 
 
 def depth_at_purchase(ev: DataFrame) -> DataFrame:
@@ -180,8 +183,9 @@ def depth_at_purchase(ev: DataFrame) -> DataFrame:
 def session_profile(ev: DataFrame) -> DataFrame:
     """Converting against other sessions. Runs a Spark job when called: counts of sessions are written."""
     cells = _cells(ev)
-    events_q = quantiles(_counts(cells, ["converted"], "total_events"), ["converted"], "total_events", [0.5])
-    seconds_q = quantiles(_counts(cells, ["converted"], SECONDS), ["converted"], SECONDS, [0.5])
+    rows = cells.count()
+    events_q = quantiles(_counts(cells, ["converted"], "total_events"), ["converted"], "total_events", [0.5], rows)
+    seconds_q = quantiles(_counts(cells, ["converted"], SECONDS), ["converted"], SECONDS, [0.5], rows)
     return (
         cells.groupBy("converted")
         .agg(

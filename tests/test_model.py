@@ -55,3 +55,15 @@ def test_reports_add_up(spark, features):
     curve = P.roc_curve(scored).collect()
     assert (curve[-1]["recall"], curve[-1]["false_positive_rate"]) == (1.0, 1.0)
     assert [r["recall"] for r in curve] == sorted(r["recall"] for r in curve)
+
+
+def test_area_of_crowded_scores(spark):
+    """Scores that differ in the sixth digit only, some equal: the area is that of all pairs."""
+    draw = random.Random(8)
+    data = [(f"s{i}", int(draw.random() < 0.3), 0.5 + draw.randrange(400) * 1e-6) for i in range(900)]
+    scored = spark.createDataFrame(data, f"user_session string, {P.LABEL} int, purchase_prob double")
+    yes, no = ([p for _, y, p in data if y == k] for k in (1, 0))
+    want = sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+    for bound in (10**6, 50):
+        assert P.roc_area(scored, bound).first()["area"] == pytest.approx(want, abs=1e-12)
+    assert P.roc_area(scored.where(f"{P.LABEL} = 1")).first()["area"] is None

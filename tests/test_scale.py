@@ -49,6 +49,22 @@ def test_purchase_ranks_equal_brute_force(skewed):
     assert sorted(rows(sessions.purchase_ranks(ev).select("event_id", "event_rank"))) == want
 
 
+def test_a_session_inside_one_second_is_cut_further(events, monkeypatch):
+    """All events of the hot session at one time: its slice is spread by id, and ranks are as if it were sorted whole."""
+    second = datetime(2024, 1, 1, 12)
+    draw = random.Random(5)
+    data = [(second, draw.choice(["view", "cart", "purchase"]), 1, "hot", 1.0, 3) for _ in range(2000)]
+    data += [(second + timedelta(seconds=i), "purchase", 2, "cold", 1.0, 3) for i in range(3)]
+    used = []
+    monkeypatch.setattr(sessions, "positions", lambda *a, f=sessions.positions: used.append(f(*a)) or used[-1])
+    got = rows(sessions.purchase_ranks(events(data), slice_events=300).select("event_id", "event_rank"))
+    want = [(i, i + 1 if i < 2000 else i - 1999) for i, row in enumerate(data) if row[1] == "purchase"]
+    assert sorted(got) == want and len(used) == 1
+    without_id = rows(sessions.purchase_ranks(events(data).drop("event_id"), slice_events=300).select("user_session", "event_rank"))
+    counts = [sum(row[1] == kind for row in data[:2000]) for kind in ("view", "cart")]
+    assert sorted(r for s, r in without_id if s == "hot") == list(range(sum(counts) + 1, 2001))
+
+
 def test_sessionize_equals_brute_force(skewed):
     ev, data = skewed
     gap = timedelta(minutes=30)
