@@ -1,16 +1,19 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on posterior labels.
 
 1. Marks. A mark is a word, or a stem: the first 3 to 6 letters of a longer word. On a bounded sample of labelled
-   documents (``max_labelled``), the marks that are significantly more frequent in toxic documents become the lexicon.
+   documents (``max_labelled``), every mark that at least MIN_TOXIC toxic ones hold (a twentieth of them in a sample with
+   few, 2 at least) and that is MIN_RATIO times as frequent in them as in clean ones is in the lexicon.
 2. Voters. The lexicon is dealt out to several word voters and stem voters, which vote "toxic" or abstain; pattern voters
    look at shouting, runs of exclamation marks, symbol noise and length. A label, where there is one, is one more voter.
 3. Label model. Every training document votes; only the counts of the different vote patterns reach the driver (at most
    3**voters, whatever the number of documents). EM estimates the class prior and each voter's accuracy; voters that
    depend on each other beyond the class are linked to a tree by their conditional mutual information, and EM goes on
    with P(vote | vote of the linked voter, class), so that doubled evidence is not counted twice.
-4. Classifier. Logistic regression (pyspark.ml) on marks and patterns of the sample, with the posteriors as soft labels.
+4. Classifier. Logistic regression (pyspark.ml) on marks and patterns, with posteriors as soft labels: of the labelled sample,
+   and of unlabelled documents, ``max_unlabelled`` by the hash of their text from those with a mark and as many from those
+   without. Each of the two stands for its whole stratum, and all unlabelled documents together weigh as much as the labelled.
 
-Fitting on labelled rows is bounded by ``max_labelled``; vote patterns are counted over all training documents. Words are
+Fitting is bounded by ``max_labelled`` and ``max_unlabelled``; vote patterns are counted over all training documents. Words are
 read from whole texts: ASCII letters are lowered, runs of letters, digits and non-ASCII characters count as words.
 
 Defined cases: null and empty texts have no marks and get the score of a text without marks; labels that are null are
@@ -35,8 +38,8 @@ from pyspark.sql import types as T
 
 from clickloom.llm.common import written
 
-MAX_LABELLED = 20_000
-LEXICON, MIN_TOXIC, MIN_RATIO = 400, 4, 20.0
+MAX_LABELLED, MAX_UNLABELLED = 20_000, 10_000
+MIN_TOXIC, MIN_RATIO = 4, 20.0
 WORD_VOTERS, STEM_VOTERS = 4, 4
 STEMS = (3, 4, 5, 6)
 PATTERNS = 4
@@ -89,12 +92,12 @@ class Lexicon:
 def pattern_votes(text: str | None) -> list[int]:
     """Shouting, exclamations and symbol noise may vote either way (EM finds out which); so may very short texts."""
     raw = (text or "").encode("utf-8", "replace")
-    upper, lower = (sum(map(raw.count, letters)) for letters in _CASES)
+    upper, lower = (len(raw) - len(raw.translate(None, letters)) for letters in (_UPPER, _LOWER))
     symbols = sum(map(raw.count, (b"#", b"$", b"%", b"&", b"*")))
     return [int(upper > lower), int(raw.count(b"!!") > 2), -int(20 * symbols > len(raw)), -int(len(raw) < 40)]
 
 
-_CASES = ([bytes([c]) for c in b"AEINORST"], [bytes([c]) for c in b"aeinorst"])  # frequent letters are enough
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -122,18 +125,13 @@ def _clean_marks(known: frozenset[str]):
 
 
 def mined(sample: DataFrame, toxic: int, clean: int) -> list[str]:
-    """The marks of the lexicon, from the labelled sample (text, toxic); bounded by the sample and LEXICON."""
+    """The marks of the lexicon, from the labelled sample (text, toxic); bounded by the sample."""
     schema = "mark string, n bigint"
     marks = sample.filter("toxic = 1").select("text").mapInPandas(_toxic_marks, schema).groupBy("mark").agg(F.sum("n").alias("n"))
     hot = {r[0]: r[1] for r in marks.filter(F.col("n") >= min(MIN_TOXIC, max(2, toxic // 20))).collect()}
     counted = sample.filter("toxic = 0").select("text").mapInPandas(_clean_marks(frozenset(hot)), schema)
     cold = {r[0]: r[1] for r in counted.groupBy("mark").agg(F.sum("n").alias("n")).collect()}
-    weight = {}
-    for mark, n in hot.items():
-        ratio = ((n + 0.5) / (toxic + 1)) / ((cold.get(mark, 0) + 0.5) / (clean + 1))
-        if ratio >= MIN_RATIO:
-            weight[mark] = np.log(ratio) * np.sqrt(n)
-    return sorted(weight, key=lambda m: (-weight[m], m))[:LEXICON]
+    return sorted(m for m, n in hot.items() if ((n + 0.5) / (toxic + 1)) / ((cold.get(m, 0) + 0.5) / (clean + 1)) >= MIN_RATIO)
 
 
 def _voted(lexicon: Lexicon):
@@ -141,7 +139,8 @@ def _voted(lexicon: Lexicon):
         for frame in frames:
             hits = [lexicon.found(t) for t in frame["text"]]
             votes = [bytes(v + 1 for v in lexicon.votes(h, pattern_votes(t))) for h, t in zip(hits, frame["text"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "votes": votes, "hits": hits})
+            order = [zlib.crc32((t or "").encode("utf-8", "replace")) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "votes": votes, "hits": hits, "order": order})
     return run
 
 
@@ -219,7 +218,7 @@ def _features(marks: int, hits: list[int], patterns: list[int]) -> list[int]:
     return [*hits, *(marks + k for k in range(min(3, len(hits)))), *(marks + 3 + k for k, v in enumerate(patterns) if v)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from the documents that aren't held out. Runs Spark jobs. ``docs``: doc_id, text; ``labels``: doc_id, toxic."""
     train = docs.select("doc_id", "text").filter(~is_held_out(F.col("doc_id")))
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~is_held_out(F.col("doc_id")))
@@ -234,21 +233,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         share = (toxic + 0.5) / (toxic + clean + 10)
         return Model(lexicon, np.zeros(size), float(np.log(share / (1 - share))))
 
-    voted = train.mapInPandas(_voted(lexicon), f"doc_id {train.schema['doc_id'].dataType.simpleString()}, votes binary, hits array<int>")
+    voted = train.mapInPandas(_voted(lexicon), f"doc_id {train.schema['doc_id'].dataType.simpleString()}, votes binary, hits array<int>, order bigint")
     # A label votes as well: 2 toxic, 0 clean, 1 unknown.
     voted = voted.join(F.broadcast(known), "doc_id", "left").withColumn("label", F.coalesce(2 * F.col("toxic"), F.lit(1)))
-    voted = written(voted.select("doc_id", "votes", "hits", "label"), "votes")
+    voted = written(voted.select("doc_id", "votes", "hits", "label", "order"), "votes")
     counts = voted.groupBy("votes", "label").count().collect()  # at most 3 ** (VOTERS + 1) patterns
     votes = np.array([[*r["votes"], r["label"]] for r in counts])
     start = np.where(votes[:, -1] == 1, np.where((votes[:, :WORD_VOTERS + STEM_VOTERS] == 2).any(axis=1), 0.7, 0.05), 0.02 + 0.48 * votes[:, -1])
     model = LabelModel(votes, np.array([r["count"] for r in counts], float), start)
-    rows = voted.filter("label <> 1").select("votes", "hits", "label").collect()  # the bounded sample
+    columns = ("votes", "hits", "label")
+    rows = voted.filter("label <> 1").select(*columns).collect()  # the bounded sample
+    labelled, weights, drawn = len(rows), [1.0] * len(rows), []
+    for stratum in (F.size("hits") > 0, F.size("hits") == 0):
+        some = voted.filter("label = 1").filter(stratum)
+        own = some.orderBy("order", "doc_id").limit(max_unlabelled).select(*columns).collect()  # the documented bound
+        drawn.append((own, some.count()))
+    unlabelled = sum(total for _, total in drawn)
+    for own, total in drawn:
+        rows += own
+        weights += [total / len(own) * labelled / unlabelled for _ in own]
     q = model.posterior(np.array([[*r["votes"], r["label"]] for r in rows]))
     soft = []
-    for r, p in zip(rows, q.tolist()):
+    for r, p, weight in zip(rows, q.tolist(), weights):
         at = _features(len(marks), list(r["hits"]), [v - 1 for v in r["votes"][WORD_VOTERS + STEM_VOTERS:]])
         vector = SparseVector(size, at, [1.0] * len(at))
-        soft += [(vector, 1.0, p), (vector, 0.0, 1.0 - p)]
+        soft += [(vector, 1.0, p * weight), (vector, 0.0, (1.0 - p) * weight)]
     schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType())])
     data = docs.sparkSession.createDataFrame(soft, schema)
     linear = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=200, standardization=False).fit(data)

@@ -1,5 +1,6 @@
 """Weak supervision: label model against planted accuracies, classifier against held-out labels, odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +42,68 @@ def test_label_model_recovers_planted_voters():
             assert abs(q[k] - y[at.ravel() == k].mean()) < 0.12
 
 
+def test_posterior_and_em_equal_a_plain_version():
+    """Posteriors by multiplying plain probabilities; at the end the tables are the shares counted with these posteriors."""
+    draw = np.random.default_rng(5)
+    votes = draw.integers(0, 3, (12, 4))
+    count = draw.integers(1, 50, 12).astype(float)
+    model = toxicity.LabelModel(votes, count, draw.random(12))
+    model.parent = [-1, 0, -1, 2]
+    model.fit(votes, count, model.posterior(votes))
+    plain = []
+    for row in votes.tolist():
+        p = list(model.prior)
+        for y in range(2):
+            for j, parent in enumerate(model.parent):
+                p[y] *= model.tables[j][y][row[parent] if parent >= 0 else 0][row[j]]
+        plain.append(p[1] / sum(p))
+    assert np.allclose(model.posterior(votes), plain)
+    for j, parent in enumerate(model.parent):
+        for y in range(2):
+            for given in range(3):
+                own = [0.1 + sum(c * (q if y else 1 - q) for row, c, q in zip(votes.tolist(), count, plain)
+                                 if row[j] == v and (row[parent] if parent >= 0 else 0) == given) for v in range(3)]
+                assert np.allclose(model.tables[j][y][given], np.array(own) / sum(own), atol=0.02)
+
+
+def test_scores_equal_a_plain_sum(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    marks = model.lexicon.marks
+    for r in docs.withColumn("s", toxicity.scores(model, docs.text)).limit(200).collect():
+        words = {w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", r["text"].encode().lower()) if w}
+        letters = [w.decode() for w in words]
+        hits = [k for k, m in enumerate(marks) if (any(w.startswith(m[:-1]) and len(w) > len(m) - 1 for w in letters) if m.endswith("*") else m in letters)]
+        upper, lower = (sum(c in cases for c in r["text"]) for cases in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        size = len(r["text"].encode())
+        patterns = [upper > lower, r["text"].count("!!") > 2, 20 * sum(c in "#$%&*" for c in r["text"]) > size, size < 40]
+        z = model.bias + sum(model.weights[k] for k in hits) + sum(model.weights[len(marks) + k] for k in range(min(3, len(hits))))
+        z += sum(model.weights[len(marks) + 3 + k] for k, p in enumerate(patterns) if p)
+        assert abs(r["s"] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
+
+
+def test_unlabelled_documents_teach(spark):
+    """A word that labelled documents do not hold gets weight from unlabelled ones, through the words beside it."""
+    rows = [(i, f"you idiot fool number{i}" if i % 3 == 0 else f"a fine day number{i}") for i in range(90)]
+    rows += [(1000 + i, f"you idiot fool moron number{i}" if i % 3 == 0 else f"a fine day number{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    fitted = [toxicity.fit(docs, labels, max_unlabelled=n) for n in (0, 10_000)]
+    probe = spark.createDataFrame([("you idiot",), ("a fine day",)], "text string")
+    for model in fitted:
+        high, low = (r["s"] for r in probe.withColumn("s", toxicity.scores(model, probe.text)).collect())
+        assert high > 0.5 > 0.3 > low
+    assert not np.allclose(fitted[0].weights, fitted[1].weights)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert docs.withColumn("s", toxicity.scores(toxicity.fit(docs, labels), docs.text)).collect() == []
+    some = spark.createDataFrame([(1, "a b")], docs.schema)
+    assert 0 <= some.withColumn("s", toxicity.scores(toxicity.fit(some, labels), some.text)).first()["s"] <= 1
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(i, f"you idiot number{i}" if i % 3 == 0 else f"a fine day number{i}", "m") for i in range(90)]
