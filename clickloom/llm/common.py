@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from clickloom.sources.stable import written
 
@@ -12,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A table is sent to every executor only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
+#: Characters of an ordered bucket, about.
+BUCKET_CHARS = 16_000_000
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -36,14 +39,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_ordered_bucket(df: DataFrame, by: str, name: str, per_partition: int = 4) -> DataFrame:
-    """Add ``name``: an int that never falls as ``by`` (a number) rises, with about equally many rows of each.
+def with_ordered_bucket(df: DataFrame, by: str, name: str, text: str, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """Add ``name``: an int that never falls as ``by`` rises, with about equally many rows of each, nulls first.
 
-    Equal values share a bucket, nulls get bucket -1. The only thing the driver holds is one bound per bucket,
-    ``per_partition`` for each shuffle partition. Being a function of the value alone, the bucket is the same in a repeated task.
+    There are as many buckets as ``text`` has ``bucket_chars`` characters in all rows, so their size does not grow with the
+    table; equal values share one. For numbers the only thing the driver holds is one bound per bucket; the bucket is a
+    function of the value, the same in a repeated task. Other ids are cut by range partitioning, and the result is written.
     """
-    spark = df.sparkSession
-    wanted = max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = max(16, -(-(df.agg(F.sum(F.length(text))).first()[0] or 0) // bucket_chars))
+    if not isinstance(df.schema[by].dataType, NumericType):
+        cut = df.repartitionByRange(wanted, F.col(by).asc_nulls_first())
+        return written(cut.withColumn(name, F.when(F.col(by).isNull(), -1).otherwise(F.spark_partition_id())), "ordered")
     shares = ", ".join(str(i / wanted) for i in range(1, wanted))
     bounds = df.agg(F.expr(f"percentile_approx(cast({by} as double), array({shares}), {wanted * 20})")).first()[0] or []
     splits = [float("-inf"), *sorted(set(bounds) or {0.0}), float("inf")]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import ascii_lower, if_small, written
+from clickloom.llm.common import ascii_lower, if_small, unused, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 13, 4
@@ -121,11 +121,12 @@ def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated. Runs Spark jobs when called."""
+    """The rows of ``docs`` that aren't contaminated; its columns may have any name. Runs Spark jobs when called."""
     found = judged(find(docs, benchmark, window, shingle, id_col, text_col), share)
     bad = written(found.filter("contaminated").select("id", "key").distinct(), "contaminated")
-    keyed = docs.withColumn("__key", F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d")
-    return keyed.join(bad.alias("b"), F.expr(f"d.`{id_col}` <=> b.id AND d.__key = b.key"), "left_anti").drop("__key")
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d")
+    return keyed.join(bad.alias("b"), F.expr(f"d.`{id_col}` <=> b.id AND d.`{key}` = b.key"), "left_anti").drop(key)
 
 
 SQL = r"""

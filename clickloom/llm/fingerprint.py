@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.llm.common import with_ordered_bucket
 
@@ -100,22 +101,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), estimate)))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, columns: list[str], text_col: str = "text") -> DataFrame:
     """Add ``next``: the struct of ``columns`` of the next row by ascending id; the last row meets the first.
 
     Rows are dealt out by ordered buckets of the id; a window over one bucket finds the next row, and the first rows of
     the following bucket are read again as its guests. Null ids come first; equal ids are ordered by ``columns``.
     """
     spark = docs.sparkSession
-    placed = with_ordered_bucket(docs, id_col, "__bucket")
+    placed = with_ordered_bucket(docs, id_col, "__bucket", text_col)
     firsts = sorted(tuple(r) for r in placed.groupBy("__bucket").agg(F.min(id_col)).collect())  # one row per bucket
     if not firsts:
         return docs.withColumn("next", F.struct(*columns))
     hosts = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    values = ", ".join(f"({'CAST(NULL AS BIGINT)' if first is None else f'{first}L'}, {host})" for first, host in hosts)
-    host = spark.sql(f"SELECT * FROM VALUES {values} AS h(__first, __host)")
+    host = spark.createDataFrame([(first, host) for first, host in hosts], T.StructType([
+        T.StructField("__first", docs.schema[id_col].dataType), T.StructField("__host", T.IntegerType())]))
     wrap = firsts[-1][0] if len(firsts) == 1 else None
-    guests = docs.join(host, F.col(id_col).eqNullSafe(F.col("__first"))).drop("__first").withColumnRenamed("__host", "__bucket")
+    guests = docs.join(F.broadcast(host), F.col(id_col).eqNullSafe(F.col("__first"))).drop("__first").withColumnRenamed("__host", "__bucket")
     late = F.lit(2) if wrap is not None else F.when(F.col("__bucket") == firsts[-1][0], 2).otherwise(1)
     both = placed.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", late))
     order = W.partitionBy("__bucket").orderBy("__guest", F.col(id_col).asc_nulls_first(), *columns)

@@ -27,11 +27,13 @@ RANGE_DIGITS = 3
 
 
 def sized(docs: DataFrame, seed: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with __source, __size (words), __key (hash) and __range (the range that the key is in)."""
+    """``row`` (all columns of ``docs``, which so may have any name), __source, __size (words), __key (hash) and __range (the
+    range that the key is in)."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return docs.withColumns({
-        "__source": F.col(source_col), "__size": F.coalesce(F.regexp_count(text_col, F.lit(SPACE_WORD)), F.lit(0)).cast("long"), "__key": key,
-    }).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    size = F.coalesce(F.regexp_count(text_col, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("__source"), size.alias("__size"),
+        key.alias("__key"), F.substring(key, 1, RANGE_DIGITS).alias("__range"))
 
 
 def source_targets(sums: DataFrame, weights: Sequence[int], share: float, max_repeats: int) -> DataFrame:
@@ -107,7 +109,7 @@ def mix(
     Runs Spark jobs when called: sizes are counted once and written.
     """
     rows = written(sized(docs, seed, id_col, text_col, source_col).select(
-        F.col(id_col).alias("id"), "__source", "__size", "__key", "__range"), "mix-sizes")
+        F.col("row").getField(id_col).alias("id"), "__source", "__size", "__key", "__range"), "mix-sizes")
     copied = with_copies(rows, source_cuts(rows, weights, share, max_repeats), max_repeats)
     return copied.select(
         "id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
@@ -123,7 +125,7 @@ def mixed_rows(
     rows = sized(docs, seed, id_col, text_col, source_col)
     copied = with_copies(rows, source_cuts(rows, weights, share, max_repeats), max_repeats)
     taken = copied.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return taken.select(*docs.columns)
+    return taken.select("row.*")
 
 
 SQL = r"""

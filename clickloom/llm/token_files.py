@@ -24,7 +24,8 @@ Ids are made from a tokenizer file word by word: texts are cut at ASCII white sp
 different words are encoded together, separated by a special token, and remembered up to a bound.
 
 Defined cases: null is the empty text, which has the end id only; null document ids come first; equal ids are ordered by
-text; an empty table makes an empty table of segments. A text of any length stays in one segment.
+text; an empty table makes an empty table of segments. A text of any length stays in one segment. Ids may be numbers or
+texts (in code-point order); other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from clickloom.llm.common import if_small, with_ordered_bucket, written
 
@@ -311,7 +313,7 @@ def word_encoder(path: str, separator: str = "<|startoftext|>") -> Callable[[lis
     return run
 
 
-def _written_segments(path: str, end_id: int, most: int):
+def _written_segments(path: str, end_id: int, most: int, numbers: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, held, bucket, seq = word_encoder(path), [], None, 0
 
@@ -332,7 +334,7 @@ def _written_segments(path: str, end_id: int, most: int):
                         yield segment()
                         held, seq, size = [], seq + 1 if b == bucket else 0, 0
                     bucket = b
-                    held.append((int(doc_id) if known else None, np.append(ids, np.uint32(end_id))))
+                    held.append(((int(doc_id) if numbers else doc_id) if known else None, np.append(ids, np.uint32(end_id))))
                     size += len(ids) + 1
         if held:
             yield segment()
@@ -341,12 +343,14 @@ def _written_segments(path: str, end_id: int, most: int):
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Write the segments below the scratch folder and return the table read back. Runs Spark jobs when called."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    placed = with_ordered_bucket(texts, "id", "bucket", 2)
+    numbers = isinstance(docs.schema[id_col].dataType, NumericType)
+    kind = "bigint" if numbers else "string"
+    texts = docs.select(F.col(id_col).cast(kind).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    placed = with_ordered_bucket(texts, "id", "bucket", "text")
     dealt = placed.repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "text")
-    dealt = dealt.select("bucket", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("has_id"), "text")
-    schema = "bucket int, seq int, doc_ids array<bigint>, lengths array<bigint>, tokens bigint, data binary"
-    return written(dealt.mapInPandas(_written_segments(tokenizer_path, end_id, segment), schema), "token-ids")
+    dealt = dealt.select("bucket", F.coalesce("id", F.lit(0 if numbers else "").cast(kind)).alias("id"), F.col("id").isNotNull().alias("has_id"), "text")
+    schema = f"bucket int, seq int, doc_ids array<{kind}>, lengths array<bigint>, tokens bigint, data binary"
+    return written(dealt.mapInPandas(_written_segments(tokenizer_path, end_id, segment, numbers), schema), "token-ids")
 
 
 def _read_documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from clickloom.llm import decontaminate, fingerprint, mixing
+from clickloom.llm.common import with_ordered_bucket
 from clickloom.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +118,35 @@ def test_next_row(spark, ids):
     order = sorted(((i is not None, i or 0, f"t{n}") for n, i in enumerate(ids)))
     want = {a[2]: order[(k + 1) % len(order)][2] for k, a in enumerate(order)}
     assert {r["text"]: r["next"]["text"] for r in got} == want
+
+
+@pytest.mark.parametrize("ids", [[], [None], ["b"], ["b", "a", "aa", "", None, "é", "a", None, *(f"d{i}" for i in range(300))]])
+def test_next_row_with_text_ids(spark, ids):
+    df = spark.createDataFrame([(i, f"t{n:03}") for n, i in enumerate(ids)], "doc_id string, text string").repartition(3)
+    got = fingerprint.with_next(df, "doc_id", ["text"]).collect()
+    order = sorted(((i is not None, i or "", f"t{n:03}") for n, i in enumerate(ids)))
+    assert {r["text"]: r["next"]["text"] for r in got} == {a[2]: order[(k + 1) % len(order)][2] for k, a in enumerate(order)}
+
+
+def test_buckets_follow_the_size_of_the_texts(spark):
+    """Four times the text makes four times the buckets, whatever the number of shuffle partitions."""
+    for times in (1, 4):
+        df = spark.range(400 * times).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"))
+        sizes = [r["count"] for r in with_ordered_bucket(df, "doc_id", "b", "text", 10_000).groupBy("b").count().collect()]
+        assert 30 * times <= len(sizes) <= 45 * times and max(sizes) <= 20
+    named = with_ordered_bucket(df.selectExpr("concat('d', doc_id) AS doc_id", "text"), "doc_id", "b", "text", 10_000)
+    assert max(r["count"] for r in named.groupBy("b").count().collect()) <= 60
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that look like the operators' own stay as they are."""
+    names = ["id", "key", "row", "__key", "__source", "__size", "__range", "__copies", "n", "windows"]
+    docs = spark.createDataFrame([(i, f"w{i} common words of text {i}", "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(40)],
+                                 f"doc_id long, text string, source string, {', '.join(f'{c} string' for c in names)}")
+    bench = spark.createDataFrame([(1, "w3 common words of text 3")], "item_id long, text string")
+    clean = decontaminate.without_contaminated(docs, bench)
+    mixed = mixing.mixed_rows(docs)
+    assert clean.columns == mixed.columns == docs.columns
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in clean.collect()) == [i for i in range(40) if i != 3]
+    assert all(r == rows[r["doc_id"]] for r in [*clean.collect(), *mixed.collect()])

@@ -39,6 +39,57 @@ def test_toxic_documents_go(spark, stages):
     assert 160 <= len(kept) < 200
 
 
+def test_known_toxic_documents_go(spark):
+    """Independent of the model's scores, at a size whose labels show each of these words in ten toxic documents or more."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    rows = docs.collect()
+    word = re.compile(r"\b(idiot|moron|scum)\b", re.IGNORECASE)
+    toxic = {r["doc_id"] for r in rows if word.search(r["text"] or "")}
+    assert len(toxic) >= 20 and not toxic & kept
+    assert len(kept) >= 0.85 * len(rows)
+
+
+@pytest.fixture
+def odd_folder(spark, tmp_path):
+    """Nulls in every column, blank texts, repeated rows; or no rows at all. Extra columns named like the stages' own."""
+
+    def made(rows):
+        extra = "id string, key string, row string, text_hash string, __key string, __score double"
+        docs = [(*r, "i", "k", "r", "h", "k", 0.5) for r in rows]
+        schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+        spark.createDataFrame(docs, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        bench = [(1, "one two three four five six"), (None, None)] if rows else []
+        spark.createDataFrame(bench, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        labels = [(1, 1, 1), (None, None, None), (2, None, 0)] if rows else []
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        return str(tmp_path)
+
+    return made
+
+
+def test_odd_documents_go_through(spark, odd_folder):
+    same = (5, "a b c d e f g", "en", None, 1)
+    rows = [(None, None, None, None, None), (1, "", None, "s", 0), (2, " \t ", "en", "s", 3), same, same, (6, "A b c d e f g", "en", "s", 13),
+            (7, "before one two three four five six after", "en", "s", 40), (8, "w " * 30_000, "en", None, 60_000)]
+    folder = odd_folder(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
+        assert len(docs.columns) == 11
+        kept.append(sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is None, i or 0)))
+    assert kept[1] == [1, 2, 5, 7, 8, None] and kept[2] == [1, 2, 5, 8, None]
+    assert {r["key"] for r in docs.collect()} == {"k"}
+    run = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r["start"] for r in run)[0] == 0
+
+
+def test_empty_tables_go_through(spark, odd_folder):
+    assert corpus_pipeline.run(spark, odd_folder([])).collect() == []
+
+
 def test_one_of_each_group_stays(stages):
     rows = stages[0][2]
     assert ids(stages[1]) == sorted({c for _, _, c in brute([r["doc_id"] for r in rows], [r["text"] for r in rows], 5)})

@@ -39,6 +39,14 @@ def test_odd_texts_and_small_segments(spark):
     assert token_files.read_index(token_files.write(docs.limit(0), tokenizer_path(), 2)).collect() == []
 
 
+def test_text_ids(spark):
+    rows = [("b", "one two"), ("a", "three"), (None, "none"), ("", "empty id"), ("aa", None), ("a", "another")]
+    segments = token_files.write(spark.createDataFrame(rows, "doc_id string, text string"), tokenizer_path(), 2)
+    got = token_files.read_index(segments).orderBy("start").select("doc_id", "start").collect()
+    want = plain_index([(None if i is None else f"x{i}", t) for i, t in rows])
+    assert [(r["doc_id"] if r["doc_id"] is None else f"x{r['doc_id']}", r["start"]) for r in got] == [w[:2] for w in want]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 9001])
 @pytest.mark.parametrize("kinds", [1, 2, 300, 30_000])
 def test_round_trip(n, kinds):
