@@ -16,7 +16,7 @@ END_ID, TOKENIZER = 2, "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model learned from ``labels``."""
     model = toxicity.fit(docs, table(spark, folder, "labels"))
-    return docs.withColumn("__score", toxicity.scores(model, F.col("text"))).filter(F.col("__score") < TOXIC_FROM).select(*docs.columns)
+    return docs.filter(toxicity.scores(model, F.col("text")) < TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
