@@ -236,7 +236,15 @@ def _fixed_scores(features: DataFrame) -> DataFrame:
 
 
 def _model_scores(features: DataFrame) -> DataFrame:
-    return propensity.score_sessions(propensity.fit_propensity(features), features.where(propensity.HOLDOUT))
+    """To six digits, which the Newton steps have settled."""
+    model = propensity.fit_propensity(features)
+    scored = propensity.score_sessions(model, features.where(propensity.HOLDOUT), propensity.newton(model, features))
+    return rounded(scored)
+
+
+def _coefficients(features: DataFrame) -> DataFrame:
+    fit = propensity.newton(propensity.fit_propensity(features), features)
+    return rounded(propensity.coefficients(fit, features)).withColumn("newton_step", F.lit(round(fit.step, 6)))
 
 
 _register(
@@ -248,7 +256,7 @@ _register(
     propensity_calibration=lambda features: propensity.calibration(_fixed_scores(features)),
     propensity_model_evaluation=lambda features: propensity.evaluate_propensity(_model_scores(features)),
     propensity_model_scores=_model_scores,
-    propensity_model_coefficients=lambda f: propensity.coefficients(propensity.fit_propensity(f), f),
+    propensity_model_coefficients=_coefficients,
     propensity_model_residuals=lambda f: propensity.fit_residuals(propensity.fit_propensity(f), f),
 )
 

@@ -38,7 +38,13 @@ def test_model_finds_the_signal_and_can_be_stored(spark, features, tmp_path):
     scored = P.score_sessions(model, holdout)
     metrics = P.evaluate_propensity(scored).first()
     assert metrics["roc_auc"] > 0.8 and metrics["recall"] > 0.5 and metrics["precision"] > 0.6
-    assert P.coefficients(model, features).first()["feature"] in ("cart_in_cutoff", "intercept")
+    fit = P.newton(model, features)
+    assert fit.step < 1e-9
+    largest = P.coefficients(fit, features).first()
+    assert largest["feature"] in ("cart_in_cutoff", "intercept") and abs(largest["weight"]) > 5 * largest["standard_error"] > 0
+    close = dict(rows(P.score_sessions(model, holdout).select("user_session", "purchase_prob")))
+    exact = dict(rows(P.score_sessions(model, holdout, fit).select("user_session", "purchase_prob")))
+    assert max(abs(close[s] - exact[s]) for s in exact) < 1e-3
     model.save(str(tmp_path / "model"))
     again = P.score_sessions(PipelineModel.load(str(tmp_path / "model")), holdout)
     assert sorted(rows(again)) == sorted(rows(scored))
