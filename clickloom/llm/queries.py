@@ -84,7 +84,8 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return maxent_lm.score(maxent_lm.fit(docs), docs).withColumnRenamed("id", "doc_id")
+    cut = maxent_lm.tokenized(docs)
+    return maxent_lm.score(maxent_lm.fit(docs, cut=cut), docs, cut=cut).withColumnRenamed("id", "doc_id")
 
 
 def tokenizer_path() -> str:

@@ -63,22 +63,90 @@ def test_without_training_documents(spark):
     assert maxent_lm.score(maxent_lm.fit(docs.limit(0)), docs.limit(0)).collect() == []
 
 
-def test_word_shares_of_the_classes_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, f"the cat {'sat' if i % 2 else 'ran'} on w{i} éa{i}") for i in range(60)], "doc_id long, text string")
-    model = maxent_lm.fit(docs, top=4)
+def small(spark):
+    rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on w{i} éa{i}" + " the dog" * (i % 3)) for i in range(60)] + [(60, ""), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     count = collections.Counter()
-    for i in range(60):
+    for i, text in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update(maxent_lm.words_of(f"the cat {'sat' if i % 2 else 'ran'} on w{i} éa{i}"))
-    symbols = maxent_lm._Symbols(model.classes.frequent)
-    mass = np.zeros(maxent_lm.CLASSES)
-    for word, c in count.items():
-        k = model.classes.of_symbol[symbols[word]]
-        mass[k] += (c + 1) / model.class_total[k]
-    shapes = np.arange(maxent_lm.CLASSES) > maxent_lm.CLUSTERS
-    mass[shapes] += 1 / model.class_total[shapes]  # unknown words
-    used = mass > 0
-    used[0] = False
-    assert np.allclose(mass[used], 1)
-    p = maxent_lm._probabilities(model.weights, model.bias, np.array([[1, 2, 3, 4], [5, 6, 7, 8]], np.uint16))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+            count.update(maxent_lm.words_of(text))
+            count[None] += 1
+    return rows, docs, count
+
+
+def softmax(z):
+    z = [math.exp(x - max(z)) for x in z]
+    return [x / sum(z) for x in z]
+
+
+def plain(model, count, before, word):
+    """P(word | words before) from the weights, one token at a time; None is the end, b"" any unknown word of a part."""
+    tokens, frequent = maxent_lm.Tokens(), model.classes.frequent.tolist()
+
+    def symbol(w):
+        t = int(maxent_lm.BEFORE) if w is None else tokens[w]
+        return 16 + frequent.index(t) if t in frequent else t & 15
+
+    def place(w):
+        t = tokens[w]
+        if t in frequent:
+            return int(model.classes.class_of[frequent.index(t)]), int(model.classes.part_of[frequent.index(t)])
+        return 1 + maxent_lm.CLUSTERS + (t & 15), (t >> 4) & 31
+
+    kind, part = (0, 0) if word is None else word if isinstance(word, tuple) else place(word)
+    two, one = [None, None, *before][-2:]
+    at = [np.array([x], np.int64) for x in (int(maxent_lm.BEFORE) if one is None else tokens[one], symbol(one), symbol(two), kind)]
+    rows, part_rows = model.classes.rows(*at)
+    of_class = softmax([float(model.bias[k]) + sum(float(model.weights[r, k]) for r in rows[0]) for k in range(32)])
+    of_part = softmax([float(model.part_bias[kind, k]) + sum(float(model.weights[r, k]) for r in part_rows[0]) for k in range(32)])
+    c = 0 if isinstance(word, tuple) else count[word]
+    return of_class[kind] * of_part[part] * (c + 1) / model.part_total[kind, part]
+
+
+@pytest.mark.parametrize("head", [0, 500_000])
+def test_scores_are_those_of_a_plain_sum(spark, head):
+    rows, docs, count = small(spark)
+    model = maxent_lm.fit(docs, top=4, head_words=head)
+    got = {r["id"]: r["score"] for r in maxent_lm.score(model, docs).collect()}
+    for i, text in rows:
+        words = [*maxent_lm.words_of(text), None]
+        want = sum(math.log10(plain(model, count, words[:k], w)) for k, w in enumerate(words))
+        assert abs(got[i] - want) < 1e-3 * len(words)  # the operator computes in single precision
+
+
+def test_chances_of_all_next_words_sum_to_one(spark):
+    _, docs, count = small(spark)
+    model = maxent_lm.fit(docs, top=4)
+    unknown = [(k, p) for k in range(1 + maxent_lm.CLUSTERS, maxent_lm.CLASSES) for p in range(maxent_lm.PARTS)]
+    for before in ([], [b"the"], [b"the", b"cat"], [b"never", b"seen"]):
+        # clusters without words keep a small share of their own
+        assert abs(sum(plain(model, count, before, w) for w in [*count, *unknown]) + empty(model, before) - 1) < 1e-6
+
+
+def empty(model, before):
+    """What goes to clusters without words: none of the next words can be in them."""
+    count = collections.Counter()
+    return sum(plain_class(model, count, before, k) for k in range(1, 1 + maxent_lm.CLUSTERS) if not model.part_total[k].sum())
+
+
+def plain_class(model, count, before, kind):
+    tokens, frequent = maxent_lm.Tokens(), model.classes.frequent.tolist()
+    two, one = [None, None, *before][-2:]
+    words = [int(maxent_lm.BEFORE) if w is None else tokens[w] for w in (one, two)]
+    near, far = (16 + frequent.index(t) if t in frequent else t & 15 for t in words)
+    rows, _ = model.classes.rows(*(np.array([x], np.int64) for x in (words[0], near, far, kind)))
+    return softmax([float(model.bias[k]) + sum(float(model.weights[r, k]) for r in rows[0]) for k in range(32)])[kind]
+
+
+def test_rows_of_weights_grow_with_the_vocabulary(spark):
+    few = spark.range(50).selectExpr("id as doc_id", "concat('w', id) as text")
+    many = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 500), k -> concat('w', id, 'x', k))) as text")
+    assert maxent_lm.fit(few).classes.bits == maxent_lm.MIN_BITS
+    assert maxent_lm.fit(many, rounds=0).classes.bits == (1_280_000 // maxent_lm.WORDS_PER_ROW).bit_length() > maxent_lm.MIN_BITS
+
+
+def test_long_text_is_cut_into_batches(spark):
+    words = [f"a{k % 50}" for k in range(450_000)]
+    rows = [(0, " ".join(words)), (1, "a1 a2"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(maxent_lm.score(maxent_lm.fit(docs), docs).collect(), brute(rows))
