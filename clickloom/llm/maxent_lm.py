@@ -215,33 +215,50 @@ def _batches(classes: Classes, words: np.ndarray, lengths: np.ndarray):
 
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Softmax of the bias (one for all or one for each token) and the summed weights of the rows of each token."""
-    z = bias + weights[rows[:, 0]]
+    """Softmax of the bias (one for all or one for each token) and the summed weights of the rows of each token. One
+    more row, of zeros, stands below."""
+    p = np.zeros((len(rows) + 1, PARTS), weights.dtype)
+    z, more = p[:-1], np.empty((len(rows), PARTS), weights.dtype)
+    np.add(weights.take(rows[:, 0], axis=0), bias, out=z)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+        z += np.take(weights, rows[:, k], axis=0, out=more, mode="clip")
     np.minimum(z, 80, out=z)  # as a float, e**80 is still finite
     np.exp(z, out=z)
-    z /= np.maximum(z @ np.ones(z.shape[1], z.dtype), np.float32(1e-30))[:, None]
-    return z
+    z *= (1 / np.maximum(z @ np.ones(PARTS, z.dtype), np.float32(1e-30)))[:, None]
+    return p
+
+
+def _sums(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the first ``n[0]`` of the rows ``at`` of ``values``, of the ``n[1]`` after them, and so on. Rows are added
+    in fours, level by level; the last row of ``values`` is of zeros and fills up."""
+    while len(at) > len(n):
+        fours = (n + 3) // 4
+        first = np.repeat(np.cumsum(n) - n - 4 * (np.cumsum(fours) - fours), fours) + 4 * np.arange(fours.sum())
+        end, padded = np.repeat(np.cumsum(n), fours), np.append(at, [len(values) - 1] * 3)
+        added = np.zeros((len(first) + 1, values.shape[1]), values.dtype)
+        for k in range(4):
+            added[:-1] += values.take(np.where(first + k < end, padded[first + k], len(values) - 1), axis=0)
+        values, at, n = added, np.arange(len(first)), fours
+    return values.take(at, axis=0)
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step over a batch."""
-    slope = probabilities(weights, bias, rows)
+    slope, width = probabilities(weights, bias, rows), rows.shape[1]
     slope[np.arange(len(target)), target] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    touched = flat[order]
+    packed = np.sort(rows.ravel().astype(np.int64) << 32 | np.arange(rows.size))  # by row, then by token
+    touched, order = packed >> 32, (packed & 0xFFFFFFFF) // width
     begin = np.flatnonzero(np.append(True, touched[1:] != touched[:-1]))
     at, n = touched[begin], np.diff(np.append(begin, len(touched)))
-    sums = slope[order[begin] // rows.shape[1]]
+    sums = slope.take(order[begin], axis=0)
     often = n > 1  # most rows occur once in a batch
-    more = order[np.repeat(often, n)] // rows.shape[1]
-    if len(more):
-        sums[often] = np.add.reduceat(slope[more], np.cumsum(n[often]) - n[often], axis=0)
+    sums[often] = _sums(slope, order[np.repeat(often, n)], n[often])
     squares[at] += np.einsum("ij,ij->i", sums, sums)
     seen[at] += n
-    weights[at] -= (STEP / np.sqrt(squares[at]))[:, None] * sums
+    sums *= (-STEP / np.sqrt(squares[at]))[:, None]
+    sums += weights.take(at, axis=0)
+    whole = np.dtype((np.void, weights.itemsize * PARTS))  # a row as one item is faster to put
+    weights.view(whole).ravel()[at] = sums.view(whole).ravel()
 
 
 def _trained(classes: Classes, shared):
@@ -252,7 +269,7 @@ def _trained(classes: Classes, shared):
         for _, words, lengths in _slices(batches):
             for rows, part_rows, kind, part in _batches(classes, words, lengths):
                 _step(weights, squares, seen, bias, rows, kind)
-                _step(weights, squares, seen, part_bias[kind], part_rows, part)
+                _step(weights, squares, seen, part_bias.take(kind, axis=0), part_rows, part)
         used = np.flatnonzero(seen)
         for some in np.array_split(used, 1 + len(used) // 4000) if len(used) else ():
             fixed = np.clip(np.rint(weights[some] / UNIT), -32767, 32767).astype(np.int16)
@@ -359,7 +376,7 @@ def _scored(classes: Classes, shared):
             for rows, part_rows, kind, part in _batches(classes, words, lengths):
                 every = np.arange(len(kind))
                 p = probabilities(m.weights, m.bias, rows)[every, kind].astype(float)
-                p *= probabilities(m.weights, m.part_bias[kind], part_rows)[every, part]
+                p *= probabilities(m.weights, m.part_bias.take(kind, axis=0), part_rows)[every, part]
                 found.append(np.log10(np.maximum(p, 1e-30)) - inside[kind, part])
             tokens = lengths + 1
             begin, ends = np.cumsum(tokens) - tokens, np.cumsum(tokens) - 1
