@@ -15,8 +15,9 @@ P(word | context) = P(class | context) * P(part | class, context) * P(word | par
   different words counted (a row for ``WORDS_PER_ROW``), so what is learned of contexts grows with the corpus, up to
   MAX_BITS, where weights of 64 MB are sent to each task.
 * Training: in each round every task of the training corpus starts from the common weights, takes AdaGrad steps over
-  batches of its tokens, and sends the rows it touched as fixed-point numbers; the new common weights are the averages, by
-  tokens, of each row, exact sums in any order.
+  batches of its tokens, and sends the rows it touched as fixed-point numbers, in blocks; the new common weights are the
+  averages, by tokens, of each row, exact sums in any order. There are as many tasks as give each TOKENS_PER_ROW tokens
+  for a row of weights, so what they send grows with the tokens, not with tasks times rows.
 * Scoring: sparse batches in numpy. Weights and the counts of the most frequent words (``head``: at most ``head_words``,
   chosen by a threshold on the count) are at hand in every task. The other words of a document meet the table of counts
   in a join; being rare, none of them is a hot key.
@@ -48,6 +49,8 @@ MIN_BITS, MAX_BITS, WORDS_PER_ROW = 14, 18, 64
 STEP, BATCH, SLICE = 0.5, 4096, 400_000
 TOP, HEAD = 1000, 500_000
 KNOWN_WORDS = 200_000
+#: A task of the training sees so many tokens for each row of weights, so what tasks send follows the tokens.
+TOKENS_PER_ROW, BLOCK_BITS = 16, 8
 #: Weights are sent as whole numbers of this part of one.
 UNIT = 1 / 1024
 #: Stands before a text, and for its end; no word has these lowest bits.
@@ -271,13 +274,35 @@ def _trained(classes: Classes, shared):
                 _step(weights, squares, seen, bias, rows, kind)
                 _step(weights, squares, seen, part_bias.take(kind, axis=0), part_rows, part)
         used = np.flatnonzero(seen)
-        for some in np.array_split(used, 1 + len(used) // 4000) if len(used) else ():
-            fixed = np.clip(np.rint(weights[some] / UNIT), -32767, 32767).astype(np.int16)
-            lists = _lists(fixed.ravel(), np.full(len(some), PARTS))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some]), lists], names=["row", "n", "w"])
+        block = used >> BLOCK_BITS
+        begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(used) else used
+        size = np.diff(np.append(begin, len(used)))
+        for some in np.array_split(np.arange(len(begin)), 1 + len(begin) // 64) if len(begin) else ():
+            rows = used[begin[some[0]]:begin[some[-1]] + size[some[-1]]]
+            fixed = np.clip(np.rint(weights[rows] / UNIT), -32767, 32767).astype(np.int16)
+            lists = [_lists(rows.astype(np.int32), size[some]), _lists(seen[rows], size[some]), _lists(fixed.ravel(), size[some] * PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[begin[some]].astype(np.int32)), *lists], names=["block", "row", "n", "w"])
     return run
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages, by tokens, of the rows of whole blocks: exact sums of whole numbers, in any order."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block, rows, n, w = (batch.column(c)[k] for c in ("block", "row", "n", "w"))
+            at = rows.values.to_numpy() & ((1 << BLOCK_BITS) - 1)
+            total, seen = sums.setdefault(block.as_py(), (np.zeros((1 << BLOCK_BITS, PARTS), np.int64), np.zeros(1 << BLOCK_BITS, np.int64)))
+            n = n.values.to_numpy()
+            total[at] += n[:, None] * w.values.to_numpy().reshape(-1, PARTS)
+            seen[at] += n
+    for block, (total, seen) in sums.items():
+        at = np.flatnonzero(seen)
+        mean = (total[at] / seen[at][:, None]).astype(np.float32)
+        rows = pa.array((at + (block << BLOCK_BITS)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([rows, _lists(mean.ravel(), np.full(len(at), PARTS))], names=["row", "w"])
+
+
 @dataclass
 class Model:
     classes: Classes
@@ -353,14 +378,15 @@ def fit(
     part_bias = np.where(total > 0, np.log(np.maximum(total, 1) / np.maximum(total.sum(axis=1, keepdims=True), 1)), -1e4).astype(np.float32)
 
     weights = np.zeros((2 << bits, PARTS), np.float32)
+    tasks = max(1, tokens // (TOKENS_PER_ROW * len(weights)))
     for _ in range(rounds if ends else 0):
         sent = spark.sparkContext.broadcast((weights, bias, part_bias))
-        learned = train.mapInArrow(_trained(classes, sent), "row int, n bigint, w array<smallint>")
-        mean = learned.groupBy("row").agg(*[(F.sum(F.col("n") * F.col("w")[k]) / F.sum("n")).cast("float").alias(f"w{k}") for k in range(PARTS)])
-        got = mean.toArrow()  # 2 * 2**bits rows at most
+        learned = train.coalesce(tasks).mapInArrow(_trained(classes, sent), "block int, row array<int>, n array<bigint>, w array<smallint>")
+        got = learned.repartition("block").mapInArrow(_averaged, "row int, w array<float>").toArrow().combine_chunks()  # 2 * 2**bits rows at most
         weights = weights.copy()
-        for k in range(PARTS):
-            weights[got.column("row").to_numpy(), k] = got.column(f"w{k}").to_numpy() * np.float32(UNIT)
+        if len(got):
+            new = got.column("w").combine_chunks().values.to_numpy().reshape(-1, PARTS)
+            weights[got.column("row").to_numpy()] = new * np.float32(UNIT)
     tail = written(counts.filter(F.col("c") < least).select("h", "c"), "tail-counts")
     return Model(classes, weights, bias, part_bias, total, head, tokens, distinct, ends, tail)
 

@@ -150,3 +150,42 @@ def test_long_text_is_cut_into_batches(spark):
     rows = [(0, " ".join(words)), (1, "a1 a2"), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check(maxent_lm.score(maxent_lm.fit(docs), docs).collect(), brute(rows))
+
+
+def test_sums_of_rows_are_those_of_a_plain_loop():
+    draw = np.random.default_rng(1)
+    values = np.append(draw.integers(-9, 9, (50, maxent_lm.PARTS)), np.zeros((1, maxent_lm.PARTS), int), axis=0)
+    for n in ([1], [2, 5, 4, 17, 2, 300], [64, 3]):
+        at = draw.integers(0, 50, sum(n))
+        ends = np.cumsum(n)
+        want = [values[at[e - k:e]].sum(axis=0) for e, k in zip(ends, n, strict=True)]
+        assert (maxent_lm._sums(values, at, np.array(n)) == want).all()
+
+
+def test_averages_of_several_tasks_are_weighted_by_tokens(monkeypatch, spark):
+    """With a row for a task each, what is averaged equals the plain mean of what tasks send, whatever their order."""
+    monkeypatch.setattr(maxent_lm, "TOKENS_PER_ROW", 1)
+    rows = [(i, f"a{i % 7} b{i % 3} c{i % 11}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sent, average = [], maxent_lm._averaged
+
+    class Shared:
+        value = None
+
+    model = maxent_lm.fit(docs, top=4, rounds=0, bits=4)
+    Shared.value = (model.weights, model.bias, model.part_bias)
+    cut = maxent_lm.tokenized(docs).toArrow().combine_chunks().to_batches()[0].select(["words"])
+    for part in range(0, 200, 40):
+        sent += maxent_lm._trained(model.classes, Shared)(iter([cut.slice(part, 40)]))
+    total, seen = collections.defaultdict(float), collections.Counter()
+    for batch in sent:
+        for r in batch.to_pylist():
+            for k, (row, n) in enumerate(zip(r["row"], r["n"], strict=True)):
+                total[row] += n * np.array(r["w"][k * maxent_lm.PARTS:(k + 1) * maxent_lm.PARTS])
+                seen[row] += n
+                assert row >> maxent_lm.BLOCK_BITS == r["block"]
+    for order in (sent, sent[::-1]):
+        got = {r["row"]: r["w"] for b in average(iter(order)) for r in b.to_pylist()}
+        assert got.keys() == seen.keys()
+        assert all(np.allclose(got[r], total[r] / seen[r], rtol=1e-6) for r in got)
+    assert maxent_lm.fit(docs, top=4, bits=4).weights.any()
