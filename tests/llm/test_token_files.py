@@ -1,8 +1,10 @@
 """Token files: exact round trips, damage, and the index against a plain tokenizer."""
 
+import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,3 +98,60 @@ def test_one_text_with_most_of_the_vocabulary(spark):
     segments = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), 2)
     got = [tuple(r) for r in token_files.read_index(segments).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     assert sorted(got) == plain_index(rows)
+
+
+def test_segments_coded_side_by_side_are_those_coded_alone():
+    draw = np.random.default_rng(3)
+    some = [draw.zipf(1.3, n) % 1000 for n in (333, 0, 1, 500, 100)] + [np.arange(33_000), np.array([5] * 40)]
+    for block in (7, 100, 4096):
+        alone = [token_files.encode(ids, block) for ids in some]
+        assert token_files.encode_all(some, block) == alone
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(token_files.decode_all(alone), some))
+    broken = bytearray(alone[3])
+    broken[-20] ^= 1
+    with pytest.raises(ValueError):
+        token_files.decode_all([alone[0], bytes(broken), alone[5]])
+
+
+def _coded(encoder, texts):
+    ids, lengths = encoder.encode(pa.array(texts, pa.large_string()), 2)
+    return [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+def _plainly(path, texts):
+    tokenizer = Tokenizer.from_file(path)
+    return [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_library_is_called_for_many_new_pieces_at_once(monkeypatch):
+    encoder, calls = token_files.Encoder(tokenizer_path()), []
+    model, whole = encoder.model, encoder.tokenizer
+    monkeypatch.setattr(encoder, "model", type("M", (), {"encode_batch_fast": lambda self, t, **k: calls.append(t) or model.encode_batch_fast(t, **k)})())
+    monkeypatch.setattr(encoder, "tokenizer", type("T", (), {"encode": lambda self, t, **k: calls.append(t) or whole.encode(t, **k)})())
+    words = [f"w{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}é{chr(97 + n // 676)}" for n in range(3000)]
+    texts = [" ".join(words), "", "Straße, ÉCOLE! x2y²½ ªƁ", "it's <b>", " ".join(words[::-1])]
+    assert _coded(encoder, texts) == _plainly(tokenizer_path(), texts)
+    assert 0 < len(calls) < 25
+    calls.clear()
+    assert _coded(encoder, [texts[4], texts[3]]) == _plainly(tokenizer_path(), [texts[4], texts[3]])
+    assert not calls
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 10)
+    assert _coded(encoder, texts[2:4]) == _plainly(tokenizer_path(), texts[2:4])
+    assert _coded(encoder, ["", " \n"]) == [[2], [2]]
+
+
+def test_file_with_other_steps_is_left_to_the_library(tmp_path):
+    steps = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    steps["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": "x"}, "content": "ab"}, steps["normalizer"]]}
+    path = str(tmp_path / "other.json")
+    Tokenizer.from_str(json.dumps(steps)).save(path)
+    texts = ["xenon Box\tto it's", "", "xx x"]
+    assert _coded(token_files.Encoder(path), texts) == _plainly(path, texts)
+
+
+def test_runs_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 10)
+    texts = pa.array(["abc", "", "defghijklmnop", "q", "é" * 4, "rs", ""], pa.large_string())
+    assert list(token_files._slices(texts)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
+    assert list(token_files._slices(texts.slice(3))) == [(0, 2), (2, 4)]
+    assert list(token_files._slices(texts.slice(0, 0))) == []
