@@ -389,15 +389,17 @@ class Encoder:
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
-        steps = json.loads(self.tokenizer.to_str())
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
         suffix = steps["model"].get("end_of_word_suffix")
         self.has_simple = bool(suffix) and all(steps[name] == STEPS[name] for name in STEPS)
         if self.has_simple:
-            bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}
-            self.model = Tokenizer.from_str(json.dumps(steps | bare))
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
             # How byte-level tokenizers write bytes as characters. The blank stays, to cut at.
             hidden = [b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)}]
             self.letters = {b: 256 + k for k, b in enumerate(hidden) if b != 32}
@@ -443,12 +445,14 @@ class Encoder:
         plain = distinct.filter(pc.invert(simple)).to_pylist()
         lines = [*distinct.filter(simple).to_numpy(zero_copy_only=False).tolist(), ""]
         pieces = self.cut.findall("\n".join(lines).lower())  # a line end after each word
-        if new := set(pieces).difference(self.known):
-            self.learn_pieces(list(new))
+        pieces = pa.array(pieces, pa.large_string()).dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [p for p in names if p not in self.known]:
+            self.learn_pieces(new)
         if new := [w for w in plain if " " + w not in self.known]:
             self.learn_words(new)
-        names = itertools.chain(pieces, *((" " + w, "\n") for w in plain))
-        rows = np.fromiter(map(self.known.__getitem__, names), np.int64)
+        rows = np.fromiter(map(self.known.__getitem__, names), np.int64)[pieces.indices.to_numpy()]
+        rows = np.append(rows, np.array([k for w in plain for k in (self.known[" " + w], 0)], np.int64))
         size = self.size[rows]
         ends = np.cumsum(size)[rows == 0]
         flat = np.append(_gathered(self.flat, self.begin[rows], size), np.uint32(end_id))
